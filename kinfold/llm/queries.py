@@ -3,11 +3,21 @@
 from __future__ import annotations
 
 from kinfold.llm.bpe import op2_bpe
+from kinfold.llm.jaccard_join import op1_jaccard_join
+from kinfold.llm.chat_format import ORACLE as CHAT_SQL
+from kinfold.llm.chat_format import op5_chat_format
+from kinfold.llm.license_scan import ORACLE as LICENSE_SQL
+from kinfold.llm.license_scan import op6_license_scan
 from kinfold.llm.quality_rules import op8_quality_rules
+from kinfold.llm.source_mix import op7_source_mix
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_bpe": op2_bpe,
+    "op5_chat_format": op5_chat_format,
+    "op6_license_scan": op6_license_scan,
+    "op7_source_mix": op7_source_mix,
     "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_chat_format": CHAT_SQL, "op6_license_scan": LICENSE_SQL}
