@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinfold.llm._common import Table, batches_of, ragged, texts_of
 
@@ -398,7 +399,7 @@ def bpe_encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary
         values, sizes = encoder.encode(texts)
         return [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values, pa.int32()))], [ids]
 
-    return _each(docs, keep, docs.select(*keep).schema.add(ids, "array<int>"), lexicon, vocabulary, make, text)
+    return _each(docs, keep, docs.select(*keep).schema.add(ids, T.ArrayType(T.IntegerType())), lexicon, vocabulary, make, text)
 
 
 def bpe_decode(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: str | None = None) -> DataFrame:

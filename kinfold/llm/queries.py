@@ -8,8 +8,10 @@ from kinfold.llm.chat_format import ORACLE as CHAT_SQL
 from kinfold.llm.chat_format import op5_chat_format
 from kinfold.llm.license_scan import ORACLE as LICENSE_SQL
 from kinfold.llm.license_scan import op6_license_scan
+from kinfold.llm.quality_classifier import op10_quality_classifier
 from kinfold.llm.quality_rules import op8_quality_rules
 from kinfold.llm.source_mix import op7_source_mix
+from kinfold.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
@@ -18,6 +20,8 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_source_mix": op7_source_mix,
     "op8_quality_rules": op8_quality_rules,
+    "op9_toxicity": op9_toxicity,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_chat_format": CHAT_SQL, "op6_license_scan": LICENSE_SQL}
