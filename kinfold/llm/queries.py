@@ -8,6 +8,7 @@ from kinfold.llm.chat_format import ORACLE as CHAT_SQL
 from kinfold.llm.chat_format import op5_chat_format
 from kinfold.llm.license_scan import ORACLE as LICENSE_SQL
 from kinfold.llm.license_scan import op6_license_scan
+from kinfold.llm.lm_score import op3_lm_score
 from kinfold.llm.quality_classifier import op10_quality_classifier
 from kinfold.llm.quality_rules import op8_quality_rules
 from kinfold.llm.source_mix import op7_source_mix
@@ -16,6 +17,7 @@ from kinfold.llm.toxicity import op9_toxicity
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_bpe": op2_bpe,
+    "op3_lm_score": op3_lm_score,
     "op5_chat_format": op5_chat_format,
     "op6_license_scan": op6_license_scan,
     "op7_source_mix": op7_source_mix,

@@ -373,10 +373,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     """Fit on at most ``net.of_class`` texts of each label among ``net.sample`` labelled rows; both bounds are fixed."""
     batches_of(docs.sparkSession)
     rows = labelled(docs, labels, label, id_column, text, folds, held, net.sample).select("__id", "label", "text")
-    by = rows.select("__id", "label").distinct().orderBy("label", F.xxhash64("__id", F.lit(3)), "__id").toPandas()
+    by = rows.select("__id", "label").distinct().orderBy("label", F.xxhash64("__id", F.lit(3)), "__id").toArrow().to_pandas()
     wanted = by[by["label"].isin((0, 1))].groupby("label").head(net.of_class)["__id"].tolist()
     some = docs.sparkSession.createDataFrame([(int(i),) for i in wanted], "__id long")
-    got = rows.join(F.broadcast(some), "__id").toPandas().sort_values(["__id", "text"]).drop_duplicates("__id")
+    got = rows.join(F.broadcast(some), "__id").toArrow().to_pandas().sort_values(["__id", "text"]).drop_duplicates("__id")
     return train(got["text"].tolist(), got["label"].to_numpy(np.int64), net)
 
 
