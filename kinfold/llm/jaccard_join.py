@@ -30,6 +30,7 @@ U = np.uint64
 BITS = 1024
 BASE = U(0x9E3779B97F4A7C15)
 BLOCK = 1024  # members of a tile that one group compares
+SENT_IDS = 2_000_000  # ids that are sent to all tasks at most; more are joined by a shuffle
 FAITH = 6  # how often hash space is cut anew for a set that leaves parts empty
 
 
@@ -178,15 +179,14 @@ def _bounded(pairs: DataFrame, light: DataFrame, rule: Threshold) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(work, "a long, b long, same boolean")
 
 
-def verified(pairs: DataFrame, light: DataFrame, docs: DataFrame, id_column: str, text: str, rule: Threshold) -> tuple[DataFrame, DataFrame]:
-    """The pairs that may link by their bitmaps, and of these the links by exact intersection.
+def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df whose id is among ids (stored, distinct): sent to all tasks if few enough, else shuffled."""
+    few = ids.count() <= SENT_IDS
+    return df.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
-    Texts are read again only for the documents in question.
-    """
-    maybe = stored(_bounded(pairs, light, rule), "maybe")
-    unsure = maybe.filter(~F.col("same")).select("a", "b")
-    wanted = unsure.select(F.col("a").alias("id")).union(unsure.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).join(wanted, "id")
+
+def sets_of(docs: DataFrame, ids: DataFrame, rule: Threshold) -> DataFrame:
+    """(id, own): the sorted n-gram hashes of the documents in question, from their texts, read again."""
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordIds()
@@ -195,7 +195,15 @@ def verified(pairs: DataFrame, light: DataFrame, docs: DataFrame, id_column: str
                 sets = shingles(texts_of(batch), rule.words, known)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "own"])
 
-    sets = texts.mapInArrow(arrays, "id long, own binary")
+    return _only(docs.select("id", "text"), ids).mapInArrow(arrays, "id long, own binary")
+
+
+def verified(pairs: DataFrame, light: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
+    """Of the pairs (a, b) those that link: first by their bitmaps, then by exact intersection."""
+    maybe = stored(_bounded(pairs, light, rule), "maybe")
+    unsure = maybe.filter(~F.col("same")).select("a", "b")
+    ids = stored(unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    some = _only(sets, ids)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,9 +218,8 @@ def verified(pairs: DataFrame, light: DataFrame, docs: DataFrame, id_column: str
                 keep.append(100 * shared >= rule.percent * (len(a) + len(b) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    checked = unsure.join(sets.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b").mapInArrow(exact, "b long, a long")
-    links = maybe.filter("same").select("a", "b").unionByName(checked.select("a", "b")).distinct()
-    return maybe, stored(links, "links")
+    checked = unsure.join(some.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(some.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b").select("a", "b", "own_a", "own_b").mapInArrow(exact, "a long, b long")
+    return stored(maybe.filter("same").select("a", "b").unionByName(checked).distinct(), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -353,14 +360,15 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     copies = stored(_copies(light), "copies")
     tiles = stored(keys.join(shared, "tile").join(copies.select("id"), "id", "left_anti"), "tiles")
     pairs = [tiles.filter(F.col("id") != F.col(c)).select(F.least("id", c).alias("a"), F.greatest("id", c).alias("b")) for c in ("lo", "hi")]
-    links = [copies.select(F.col("id").alias("a"), F.col("first").alias("b")), verified(pairs[0].union(pairs[1]).distinct(), light, docs, "id", "text", rule)[1]]
+    sets = stored(sets_of(docs, stored(tiles.select(F.explode(F.array("id", "hi")).alias("id")).distinct(), "ids"), rule), "sets")
+    links = [copies.select(F.col("id").alias("a"), F.col("first").alias("b")), verified(pairs[0].union(pairs[1]).distinct(), light, sets, rule)]
     labels = stored(components(links[0].unionByName(links[1])), "labels")
     for forest in (True, False):
         candidates = stored(_compared(_mixed(tiles.select("tile", "id"), labels, light), rule, forest), "candidates")
         tried = candidates.count()
         if not tried:
             break
-        _, new = verified(candidates, light, docs, "id", "text", rule)
+        new = verified(candidates, light, sets, rule)
         links.append(new)
         linked = new.count()
         if linked:
