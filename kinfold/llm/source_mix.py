@@ -22,7 +22,8 @@ class Mix:
     """``weights`` name sources (None: the null source); others get 1, 2, 3, repeating in code-point order."""
 
     block_words: int = 64
-    shard_words: int = 4_000_000
+    shard_words: int = 50_000
+    shards: int = 10_000  # of a source at most; beyond, shards get larger
     most: int = 3  # times a source's or document's size
     seed: int = 17
     weights: dict[str | None, float] = field(default_factory=dict)
@@ -99,7 +100,7 @@ def _mixed(sized: DataFrame, id_column: str, source: str, mix: Mix) -> DataFrame
     plan = plan.withColumn("__blocks", F.round(total / b).cast("long"))
     plan = plan.withColumn("__share", F.col("target") / b)
     quotas = _highest_quotients(plan.select("source", "rank", "source_size", "target", "__blocks", "__share"), "__share", "__blocks", None, "rank")
-    quotas = quotas.select("source", "rank", "source_size", "target", F.col("quota").alias("__quota"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / mix.shard_words)).cast("long").alias("__shards"))
+    quotas = quotas.select("source", "rank", "source_size", "target", F.col("quota").alias("__quota"), F.least(F.lit(mix.shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / mix.shard_words))).cast("long").alias("__shards"))
     placed = hashed.join(quotas, hashed["__source"].eqNullSafe(quotas["source"])).drop("source")
     placed = placed.withColumn("__shard", F.pmod(F.xxhash64(F.lit(mix.seed + 1), "__h"), F.col("__shards")))
     shards = placed.groupBy("rank", "__shard").agg(F.sum("size").alias("__size"), F.first("__quota").alias("__quota"), F.first("source_size").alias("source_size"))
