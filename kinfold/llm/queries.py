@@ -9,6 +9,7 @@ from kinfold.llm.chat_format import op5_chat_format
 from kinfold.llm.license_scan import ORACLE as LICENSE_SQL
 from kinfold.llm.license_scan import op6_license_scan
 from kinfold.llm.lm_score import op3_lm_score
+from kinfold.llm.nearest import op4_nearest
 from kinfold.llm.quality_classifier import op10_quality_classifier
 from kinfold.llm.quality_rules import op8_quality_rules
 from kinfold.llm.source_mix import op7_source_mix
@@ -18,6 +19,7 @@ QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_bpe": op2_bpe,
     "op3_lm_score": op3_lm_score,
+    "op4_nearest": op4_nearest,
     "op5_chat_format": op5_chat_format,
     "op6_license_scan": op6_license_scan,
     "op7_source_mix": op7_source_mix,
