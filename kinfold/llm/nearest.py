@@ -84,7 +84,7 @@ class Trees:
 
         roots = [grow(np.arange(len(sample))) for _ in range(spec.trees)]
         dims = sample.shape[1] if sample.ndim == 2 else 0
-        return cls(np.array(normals).reshape(-1, dims), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), roots, np.array(share))
+        return cls(np.array(normals).reshape(len(normals), dims), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), roots, np.array(share))
 
     def leaves(self, unit: np.ndarray) -> np.ndarray:
         """For each vector its leaf of each tree."""
