@@ -37,9 +37,10 @@ class Net:
     char_dims: int = 8
     hidden: int = 8
     attention: int = 8
-    sample: int = 6000
-    of_class: int = 1500
-    epochs: int = 5
+    sample: int = 8000
+    of_toxic: int = 1500
+    of_clean: int = 2500
+    epochs: int = 3
     batch: int = 256
     rate: float = 0.02
     seed: int = 5
@@ -202,12 +203,19 @@ def start_params(net: Net) -> dict[str, np.ndarray]:
     return p
 
 
-def _odds(ids: np.ndarray, own: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """Log-odds of a bucket between texts of label 1 and 0, counted once a text, drawn to 0 where rare."""
-    pair = np.unique(own.astype(np.int64) * size + ids)
-    side, bucket = label[pair // size], pair % size
-    pos, neg = (np.bincount(bucket[side == v], minlength=size) for v in (1, 0))
-    a, b = max(1, int((label == 1).sum())), max(1, int((label == 0).sum()))
+def _odds(parts: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray, size: int) -> np.ndarray:
+    """Log-odds of a bucket between texts of label 1 and 0, drawn to 0 where rare.
+
+    ``parts`` gives buckets and the texts they are of, some whole texts at a time; a text counts once.
+    """
+    pos, neg, a, b = np.zeros(size, np.int64), np.zeros(size, np.int64), 0, 0
+    for buckets, own in parts:
+        texts = np.unique(own)
+        a, b = a + int((label[texts] == 1).sum()), b + int((label[texts] == 0).sum())
+        pair = np.unique(own.astype(np.int64) * size + buckets)
+        bucket, one = pair % size, label[pair // size] == 1
+        pos += np.bincount(bucket[one], minlength=size)
+        neg += np.bincount(bucket[~one], minlength=size)
     return np.clip(np.log((pos + 1) / (a + 2)) - np.log((neg + 1) / (b + 2)), -3, 5).astype(f4) * ((pos + neg) >= 3)
 
 
@@ -215,7 +223,7 @@ def train(texts: list[str], label: np.ndarray, net: Net) -> dict[str, np.ndarray
     """Fit on whole texts with labels 0 and 1; without both, every text scores the same.
 
     A toxic text teaches by its currently most toxic window, a clean one by its most toxic window and
-    one at random. The threshold is laid between the two classes' training texts.
+    one at random. The readout and the threshold come from texts that were kept apart.
     """
     p = start_params(net)
     p["word_odds"], p["char_odds"] = np.zeros(net.word_buckets, f4), np.zeros(net.gram_buckets, f4)
@@ -231,14 +239,25 @@ def train(texts: list[str], label: np.ndarray, net: Net) -> dict[str, np.ndarray
         docs.append(np.array([known.setdefault(w, len(known)) for w in own], np.int64))
     word, tri, starts = word_codes(list(known), net)
     per_tri = np.diff(np.r_[starts, len(tri)])
-    place = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
-    p["word_odds"] = _odds(word[np.concatenate(docs)], place, label, net.word_buckets)
-    lex = [np.unique(x) for x in docs]
-    some = np.concatenate(lex)
-    at = np.repeat(np.arange(len(docs)), [len(x) for x in lex])
-    sizes = per_tri[some]
-    flat = np.arange(sizes.sum()) + np.repeat(starts[some] - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
-    p["char_odds"] = _odds(tri[flat], np.repeat(at, sizes), label, net.gram_buckets)
+    # Every fourth text of either class is kept apart: the readout and the threshold are fitted on these.
+    apart = np.zeros(len(docs), bool)
+    for v in (0, 1):
+        of = np.flatnonzero(label == v)
+        apart[of[3::4]] = len(of) >= 20
+    if not apart.any() or len(set(label[apart])) < 2:
+        apart[:] = False
+    fitted = np.flatnonzero(~apart)
+    if not apart.any():
+        apart[:] = True
+
+    def spread(grams: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in range(0, len(fitted), 50):
+            at = fitted[k : k + 50]
+            some = [np.unique(docs[i]) for i in at]
+            own, words = np.repeat(at, [len(x) for x in some]), np.concatenate(some)
+            yield (tri[ragged(starts[words], per_tri[words])], np.repeat(own, per_tri[words])) if grams else (word[words], own)
+
+    p["word_odds"], p["char_odds"] = _odds(spread(False), label, net.word_buckets), _odds(spread(True), label, net.gram_buckets)
     offset = np.cumsum([0] + [len(x) for x in docs])
     flat_words = np.concatenate(docs)
     win_doc, win_at, win_len = [], [], []
@@ -256,8 +275,15 @@ def train(texts: list[str], label: np.ndarray, net: Net) -> dict[str, np.ndarray
         mask = t < win_len[rows]
         return flat_words[np.where(mask, win_at[rows] + t, 0)], mask
 
+    def own_grams(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = per_tri[words]
+        return tri[ragged(starts[words], sizes)], np.cumsum(sizes) - sizes
+
+    def gates_of(words: np.ndarray) -> np.ndarray:
+        return word_inputs(p, word[words], *own_grams(words)) @ p["wx"] + p["bx"]
+
     def all_logits() -> np.ndarray:
-        table = word_inputs(p, word, tri, starts) @ p["wx"] + p["bx"]
+        table = np.concatenate([gates_of(np.arange(k, min(k + 20_000, len(word)))) for k in range(0, len(word), 20_000)])
         out = np.zeros(len(win_doc), f4)
         for k in range(0, len(out), 4096):
             ids, mask = ids_of(np.arange(k, min(k + 4096, len(out))))
@@ -270,9 +296,9 @@ def train(texts: list[str], label: np.ndarray, net: Net) -> dict[str, np.ndarray
         worst = first if epoch < 2 else all_logits()
         best = np.array([h + int(np.argmax(worst[h : h + c])) for h, c in zip(heads, counts)])
         random = heads + (r.random(len(heads)) * counts).astype(np.int64)
-        clean = np.flatnonzero(label == 0)
-        rows = np.concatenate([best, random[clean]])
-        want = np.concatenate([label, np.zeros(len(clean), label.dtype)]).astype(f4)
+        clean = fitted[label[fitted] == 0]
+        rows = np.concatenate([best[fitted], random[clean]])
+        want = np.concatenate([label[fitted], np.zeros(len(clean), label.dtype)]).astype(f4)
         weigh = np.where(want == 1, f4((want == 0).sum() / max(1, (want == 1).sum())) ** 0.5, f4(1)).astype(f4)
         order = r.permutation(len(rows))
         for k in range(0, len(order), net.batch):
@@ -280,8 +306,7 @@ def train(texts: list[str], label: np.ndarray, net: Net) -> dict[str, np.ndarray
             ids, mask = ids_of(rows[pick])
             used, back = np.unique(ids, return_inverse=True)
             sizes = per_tri[used]
-            own_starts = np.cumsum(sizes) - sizes
-            own_tri = tri[np.arange(sizes.sum()) + np.repeat(starts[used] - own_starts, sizes)]
+            own_tri, own_starts = own_grams(used)
             x = word_inputs(p, word[used], own_tri, own_starts)
             gates = (x @ p["wx"] + p["bx"])[back.reshape(ids.shape)]
             run = forward(p, gates, mask, keep=True)
@@ -300,9 +325,9 @@ def train(texts: list[str], label: np.ndarray, net: Net) -> dict[str, np.ndarray
                 m += 0.1 * (d[name] - m)
                 v += 0.001 * (d[name] ** 2 - v)
                 p[name] -= (net.rate * (m / (1 - 0.9**tick)) / (np.sqrt(v / (1 - 0.999**tick)) + 1e-8)).astype(f4)
-    read = readout(all_logits(), heads, counts)
-    p["read"] = _logistic(read, label)
-    p["cut"] = _cut(np.c_[read, np.ones(len(read))] @ p["read"], label)
+    read, own = readout(all_logits(), heads, counts)[apart], label[apart]
+    p["read"] = _logistic(read, own)
+    p["cut"] = _cut(np.c_[read, np.ones(len(read))] @ p["read"], own)
     return p
 
 
@@ -338,14 +363,16 @@ def _cut(top: np.ndarray, label: np.ndarray) -> np.ndarray:
 
 
 def score_texts(inputs: Inputs, texts: list[str], net: Net, rows: int = 4096) -> np.ndarray:
-    """The score of each text by its most toxic window."""
+    """The score of each text; one without words has a window without any sign of toxicity."""
     p = inputs.p
     words: list[bytes] = []
     sizes = np.zeros(len(texts), np.int64)
+    blank = np.zeros(len(texts), bool)
     for k, t in enumerate(texts):
-        own = raw(t).split() or [b""]
-        sizes[k] = len(own)
-        words += own
+        own = raw(t).split()
+        blank[k] = not own
+        sizes[k] = len(own) or 1
+        words += own or [b""]
     ids = inputs.ids(words)
     ends = np.cumsum(sizes)
     # the windows of windows_of, for all texts at once
@@ -364,36 +391,37 @@ def score_texts(inputs: Inputs, texts: list[str], net: Net, rows: int = 4096) ->
             logits[own] = forward(p, inputs.rows[ids[np.where(mask, at[own] + t, 0)]], mask)
     if not len(texts):
         return np.zeros(0)
+    logits[blank[doc]] = -8  # no words, so nothing toxic
     z = np.c_[readout(logits, np.cumsum(n) - n, n), np.ones(len(texts))] @ p["read"]
     z = (z - float(p["cut"][0])) * float(p["cut"][1]) + np.log(net.cut_score / (1 - net.cut_score))
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held: int = 1, net: Net = Net()) -> dict[str, np.ndarray]:
-    """Fit on at most ``net.of_class`` texts of each label among ``net.sample`` labelled rows; both bounds are fixed."""
+    """Fit on at most ``net.of_toxic`` and ``net.of_clean`` texts of the two labels among ``net.sample`` labelled rows; all bounds are fixed."""
     batches_of(docs.sparkSession)
     rows = labelled(docs, labels, label, id_column, text, folds, held, net.sample).select("__id", "label", "text")
     by = rows.select("__id", "label").distinct().orderBy("label", F.xxhash64("__id", F.lit(3)), "__id").toArrow().to_pandas()
-    wanted = by[by["label"].isin((0, 1))].groupby("label").head(net.of_class)["__id"].tolist()
+    wanted = by[by["label"] == 1]["__id"].tolist()[: net.of_toxic] + by[by["label"] == 0]["__id"].tolist()[: net.of_clean]
     some = docs.sparkSession.createDataFrame([(int(i),) for i in wanted], "__id long")
     got = rows.join(F.broadcast(some), "__id").toArrow().to_pandas().sort_values(["__id", "text"]).drop_duplicates("__id")
     return train(got["text"].tolist(), got["label"].to_numpy(np.int64), net)
 
 
-def score_toxicity(docs: DataFrame, params: dict[str, np.ndarray], id_column: str = "doc_id", text: str = "text", folds: int = 3, held: int = 1, net: Net = Net()) -> DataFrame:
-    """id, held_out, score, predicted for every row; a null text is scored as an empty one."""
+def score_toxicity(docs: DataFrame, params: dict[str, np.ndarray], id_column: str = "doc_id", text: str = "text", folds: int = 3, held: int = 1, net: Net = Net(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, held_out, score, predicted, and the columns to keep, for every row; a null text is scored as an empty one."""
     batches_of(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(params)
-    source = docs.select(F.col(id_column), F.col(text).alias("text"), (crc_remainder(id_column, folds) == held).alias("held_out"))
+    source = docs.select(*keep, F.col(id_column), F.col(text).alias("text"), (crc_remainder(id_column, folds) == held).alias("held_out"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inputs = Inputs(shipped.value, net)
         for batch in batches:
             if batch.num_rows:
                 s = score_texts(inputs, texts_of(batch), net)
-                yield pa.RecordBatch.from_arrays([batch.column(id_column), batch.column("held_out"), pa.array(s), pa.array((s >= net.cut_score).astype(np.int32))], names=[id_column, "held_out", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), batch.column(id_column), batch.column("held_out"), pa.array(s), pa.array((s >= net.cut_score).astype(np.int32))], names=[*keep, id_column, "held_out", "score", "predicted"])
 
-    return source.mapInArrow(work, docs.select(id_column).schema.add("held_out", "boolean").add("score", "double").add("predicted", "integer"))
+    return source.mapInArrow(work, docs.select(*keep, id_column).schema.add("held_out", "boolean").add("score", "double").add("predicted", "integer"))
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
