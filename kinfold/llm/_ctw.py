@@ -96,7 +96,7 @@ def descend(tiers: list, sure: np.ndarray, left: np.ndarray) -> tuple[np.ndarray
 class Model:
     """The nodes' predictions, and what they gave for the grams met lately."""
 
-    def __init__(self, keys: np.ndarray, p1: np.ndarray, depth: int, most: int = 3_000_000) -> None:
+    def __init__(self, keys: np.ndarray, p1: np.ndarray, depth: int, most: int = 1_500_000) -> None:
         self.depth, self.nodes, self.p1, self.most = depth, Table(keys, p1), np.append(p1, np.float32(0.5)), most
         self.clear()
 

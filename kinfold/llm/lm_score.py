@@ -32,8 +32,8 @@ class Tree:
 
     depth: int = 5
     least: int = 2
-    most_nodes: int = 4_000_000
-    hot_words: int = 1_000_000
+    most_nodes: int = 2_000_000
+    hot_words: int = 500_000
     flush: int = 3_000_000
 
 
@@ -189,7 +189,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", te
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     train_tokens, rest = int(total.n), float(np.log10(total.n + total.v + 1))
     shipped = spark.sparkContext.broadcast((keys, p1, *_top(counts, tree.hot_words)))
-    batches_of(spark)
+    batches_of(spark, 400)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, hot, log_hot = _models(shipped, tree.depth)
