@@ -1,0 +1,25 @@
+"""Where intermediate tables go: the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; only where that is unset (tests) a local one is chosen."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = os.path.join(tempfile.gettempdir(), "kinfold-checkpoints")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/kinfold/{uuid.uuid4().hex}"
+
+
+def kept_table(df: DataFrame) -> DataFrame:
+    """Write a table once and read it back."""
+    path = fresh_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
