@@ -15,6 +15,7 @@ from kinfold.functions import extract as X
 from kinfold.functions import fixed
 from kinfold.functions import text as N
 from kinfold.operators.tokens import Channel, channel_tokens
+from kinfold.sources.shared import kept_table
 
 UNRANKED = 99
 DIGITS = 6  # of a cosine; it is rounded once, before anything is ranked by it
@@ -122,8 +123,9 @@ def block(s1: DataFrame, targets: DataFrame, spec: Blocking = Blocking(), by_sta
     q, t = in_parts(s1, targets, by_state)
     parts = t.join(q.select("part").distinct(), "part", "left_semi")
     sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
-    t_tokens = channel_tokens(parts, spec.channels, ("part",))
-    vocab = vocabulary(t_tokens, sizes, spec.channels)
+    # tokens and vocabulary are read two or three times each, so they are stored
+    t_tokens = kept_table(channel_tokens(parts, spec.channels, ("part",)))
+    vocab = kept_table(vocabulary(t_tokens, sizes, spec.channels))
     pairs = pair_scores(weights(channel_tokens(q, spec.channels, ("part",)), vocab), weights(t_tokens, vocab), spec.channels)
     if spec.conflict_penalty:
         pairs = pairs.join(s1.select(F.col("entity_id").alias("s1"), F.col("states").alias("states_q")), "s1").join(targets.select(F.col("entity_id").alias("t"), F.col("states").alias("states_t")), "t")
@@ -206,7 +208,7 @@ GRAM_INDEXES = (GramIndex("norm_name", 20, 0.35), GramIndex("norm_addr", 15, 0.4
 def gram_pairs(q: DataFrame, t: DataFrame, index: GramIndex) -> DataFrame:
     """(s1, t, sc): the nearest targets of the same country by cosine of n-gram tf-idf."""
     counts = lambda df: df.select("country", "entity_id", F.explode(word_grams(F.col(index.column))).alias("g")).groupBy("country", "entity_id", "g").agg(F.count("*").alias("tf"))
-    tc, qc = counts(t), counts(q)
+    tc, qc = kept_table(counts(t)), counts(q)
     n = t.groupBy("country").agg(F.count("*").alias("n"))
     idf = tc.groupBy("country", "g").agg(F.count("*").alias("df")).join(n, "country").select("country", "g", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 

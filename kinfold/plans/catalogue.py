@@ -22,6 +22,7 @@ from kinfold.plans import linkage as L
 from kinfold.plans.views import RECORDS_SQL, TRUTH_SQL, q, records, sides, sql_classic, sql_list, sql_map, sql_mapped, sql_plain, sql_tokens, truth
 from kinfold.sources import records as SRC
 from kinfold.sources import sinks as K
+from kinfold.sources.shared import fresh_folder, kept_table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -214,11 +215,12 @@ KEPT = (*CAND, f"kept AS (SELECT * FROM cand WHERE fwd_rank < {SPEC.forward} OR
 
 
 def tokened(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return sides(T.record_tokens(records(spark, sf_dir)))
+    """Tokens of both sides, normalised once and stored, since every step of blocking reads them."""
+    return sides(kept_table(T.record_tokens(records(spark, sf_dir))))
 
 
 def candidates(spark, sf_dir) -> DataFrame:
-    return B.kept(B.block(*tokened(spark, sf_dir), SPEC), SPEC)
+    return kept_table(B.kept(B.block(*tokened(spark, sf_dir), SPEC), SPEC))
 
 
 @query("er_vocabulary", _with(*CAND) + " SELECT part, channel, token, df::BIGINT AS df, round(idf, 9) AS idf FROM idf")
@@ -283,7 +285,7 @@ kpairs AS (SELECT DISTINCT a.entity_id AS s1, b.entity_id AS t, strategy FROM ke
 
 
 def keyed_sides(spark, sf_dir):
-    return sides(B.keyed(records(spark, sf_dir)))
+    return sides(kept_table(B.keyed(records(spark, sf_dir))))
 
 
 @query("er_key_pairs", _with(RECORDS_SQL, CLASSIC_SQL) + " SELECT * FROM kpairs")
@@ -349,7 +351,7 @@ _NATIVE = ["num1_eq", "nums_jacc", "nums_in", "st_eq", "a_null_2", "n_domain_2",
   FROM kept JOIN view a ON a.entity_id = s1 JOIN view b ON b.entity_id = t""")
 def er_features_native(spark, sf_dir):
     s1, t = tokened(spark, sf_dir)
-    c = B.kept(B.block(s1, t, SPEC), SPEC)
+    c = kept_table(B.kept(B.block(s1, t, SPEC), SPEC))
     return P.native_features(P.paired(c, T.record_view(s1), T.record_view(t))).select("s1", "t", *_NATIVE)
 
 
@@ -357,7 +359,7 @@ def er_features_native(spark, sf_dir):
 def er_features_learned(spark, sf_dir):
     """All 56 features; the kernels' values are tested by hand."""
     s1, t = tokened(spark, sf_dir)
-    return L.featured(s1, t, B.kept(B.block(s1, t, SPEC), SPEC))
+    return L.featured(s1, t, kept_table(B.kept(B.block(s1, t, SPEC), SPEC)))
 
 
 @query("er_jaro_winkler", _with(*KEPT) + " SELECT s1, t, round(jaro_winkler_similarity(regexp_replace(a.nk, '[^\x00-\x7f]', '?', 'g'), regexp_replace(b.nk, '[^\x00-\x7f]', '?', 'g')), 6) AS jw FROM kept JOIN tk a ON a.entity_id = s1 JOIN tk b ON b.entity_id = t WHERE a.nk <> '' AND b.nk <> ''")
@@ -384,8 +386,8 @@ _RULE_COLS = ["exact_name", "name_jaccard", "addr_jaccard", "name_ratio", "addr_
 
 
 def rule_features(spark, sf_dir, kernels: bool = False) -> DataFrame:
-    s1, t = sides(records(spark, sf_dir))
-    return P.features_v1(candidates(spark, sf_dir), P.classic_view(s1), P.classic_view(t), kernels)
+    s1, t = sides(kept_table(P.classic_view(records(spark, sf_dir))))
+    return P.features_v1(candidates(spark, sf_dir), s1, t, kernels)
 
 
 @query("er_features_rules", _with(*RULES_SQL) + " SELECT s1, t, " + ", ".join(f"round({c}::DOUBLE, 9) AS {c}" for c in _RULE_COLS) + " FROM rules")
@@ -401,8 +403,8 @@ def er_features_rules_kernels(spark, sf_dir):
 
 @query("er_levenshtein", _with(*RULES_SQL) + " SELECT s1, t, round(lev::DOUBLE, 9) AS lev FROM rules")
 def er_levenshtein(spark, sf_dir):
-    s1, t = sides(records(spark, sf_dir))
-    d = P.paired(candidates(spark, sf_dir).select("s1", "t"), P.classic_view(s1), P.classic_view(t))
+    s1, t = sides(kept_table(P.classic_view(records(spark, sf_dir))))
+    d = P.paired(candidates(spark, sf_dir).select("s1", "t"), s1, t)
     ascii_of = lambda c: F.regexp_replace(c, "[^\\x00-\\x7f]", "?")
     return d.select("s1", "t", F.round(P.levenshtein_similarity(ascii_of("nn_1"), ascii_of("nn_2")), 9).alias("lev"))
 
@@ -521,10 +523,8 @@ def er_sampled_queries(spark, sf_dir):
 @query("er_learned_matches")
 def er_learned_matches(spark, sf_dir):
     """Boosted trees on all native features, out of fold, each target to its best query."""
-    from kinfold.plans.stored import kept_table
-
     s1, t = tokened(spark, sf_dir)
-    c = B.kept(B.block(s1, t, SPEC), SPEC)
+    c = kept_table(B.kept(B.block(s1, t, SPEC), SPEC))
     use = [*P.BLOCKING, *_NATIVE, "n_cand", "sc_gap_s1", "sc_gap_t", "n_s1_for_t"]
     data = M.labelled(P.native_features(P.paired(P.with_context(c), T.record_view(s1), T.record_view(t))).select("s1", "t", *use), truth(records(spark, sf_dir)))
     data = kept_table(data)
@@ -560,8 +560,6 @@ def er_id_lists(spark, sf_dir):
 @query("er_tsv_round_trip", f"WITH {RECORDS_SQL} SELECT entity_id, nullif(regexp_replace(business_name, '[\\t\\r]', ' ', 'g'), '') AS business_name, regexp_replace(business_address, '[\\t\\r]', ' ', 'g') AS business_address, country FROM rec")
 def er_tsv_round_trip(spark, sf_dir):
     """Records written as tab-separated text and read again."""
-    from kinfold.plans.stored import fresh_folder
-
     d = records(spark, sf_dir)
     path = f"{fresh_folder(spark)}/records.tsv"
     K.write_tsv(d.select(*[F.regexp_replace(c, "[\\t\\r]", " ").alias(c) for c in d.columns]), path)
