@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.llm._common import Table, batches_of, ragged, texts_of
+from kinfold.llm._common import Table, batches_of, ragged, stored, texts_of
 
 #: The pre-tokenizer's pattern of byte-level BPE, as published with the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -352,10 +352,22 @@ def word_counts(docs: DataFrame, text: str, vocabulary: str, flush: int = 300_00
 
 
 def build_lexicon(docs: DataFrame, text: str = "text", vocabulary: str | None = None, words: int = 50_000, longest: int = 64) -> bytes:
-    """Count all words of all documents, and compile the most frequent; ``words`` bounds what the driver gets."""
+    """Count all words of all documents, and compile the most frequent that occur more than once.
+
+    At most ``words`` go to the driver: the cut lies between two tiers of counts, found from the tiers'
+    sizes alone.
+    """
     path = vocabulary or default_vocabulary()
-    top = word_counts(docs, text, path).filter((F.octet_length("word") <= longest) & ~F.col("word").isin(*Vocabulary.read(path).special)).orderBy(F.desc("n"), "word").limit(words)
-    return Transducer.compile([r.word.encode() for r in top.select("word").collect()], Vocabulary.read(path)).to_bytes()
+    own = Vocabulary.read(path)
+    counts = word_counts(docs, text, path).filter((F.col("n") > 1) & (F.octet_length("word") <= longest) & ~F.col("word").isin(*own.special))
+    counts = stored(counts.select("word", F.floor(F.log2("n") * 16).cast("int").alias("tier")), "words")
+    total, least = 0, None
+    for tier, n in sorted(((r.tier, r["count"]) for r in counts.groupBy("tier").count().collect()), reverse=True):
+        if total + n > words:
+            break
+        total, least = total + n, tier
+    top = [] if least is None else [r.word.encode() for r in counts.filter(F.col("tier") >= least).select("word").collect()]
+    return Transducer.compile(top, own).to_bytes()
 
 
 def _mapped(data: bytes) -> Transducer:
