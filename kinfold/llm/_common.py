@@ -24,7 +24,6 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = os.path.join(tempfile.gettempdir(), "kinfold-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
