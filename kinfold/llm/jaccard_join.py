@@ -1,8 +1,8 @@
 """N-gram Jaccard join: size-banded tiles, bitmap bounds, exact intersection.
 
 A text's set holds the hashes of its distinct word n-grams. Sizes are cut into bands. In a band, hash
-space is cut into one part more than two linked sets can differ in elements, so linked sets agree on
-a whole part: (band, part, content of the part) names a *tile*, and only texts in one tile are ever
+space is cut into more parts than two linked sets can differ in elements, so linked sets agree on a
+whole part: (band, part, content of the part) names a *tile*, and only texts in one tile are ever
 compared. Passages that many texts share do not fill tiles, since a part holds whatever the text has
 there. Inside a tile a 1024-bit signature (bit = parity of the elements that hash to it) bounds the
 overlap from above: the differing bits of two signatures are at most the differing elements. Pairs
@@ -30,7 +30,7 @@ U = np.uint64
 BITS = 1024
 BASE = U(0x9E3779B97F4A7C15)
 BLOCK = 1024  # members of a tile that one group compares
-SENT_IDS = 2_000_000  # ids that are sent to all tasks at most; more are joined by a shuffle
+SENT_ROWS = 500_000  # rows of one or two numbers that are sent to all tasks at most; more are joined by a shuffle
 FAITH = 6  # how often hash space is cut anew for a set that leaves parts empty
 
 
@@ -53,8 +53,15 @@ class Threshold:
         """Elements in which linked sets of these sizes can differ at most."""
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
-    def differ_from_any(self, a: int) -> int:
-        return a * (100 - self.percent) // self.percent
+    def differ_within(self, a: int, most: int) -> int:
+        """The same for a set of size a and any that it may link to of size ``most`` or less."""
+        return self.differ(a, min(most, a * 100 // self.percent))
+
+    def parts(self, most: int) -> int:
+        """Into how many parts hash space is cut for sets up to this size: more than they can differ in,
+        and an eighth beyond, so that those left empty by chance do not matter."""
+        d = self.differ(most, most)
+        return d + 1 + d // 8
 
 
 def shingles(texts: list[str], n: int, known: WordIds) -> list[np.ndarray]:
@@ -122,7 +129,7 @@ def tile_keys(own: np.ndarray, rule: Threshold, bands: np.ndarray) -> np.ndarray
     out: list[np.ndarray] = []
     while k + 1 < len(bands) and (bands[k] <= n or 100 * n >= rule.percent * int(bands[k])):
         most = int(bands[k + 1]) - 1
-        out += _part_keys(own, int(rule.differ(most, most)) + 1, rule.differ_from_any(n), (k + 1) << 40)
+        out += _part_keys(own, rule.parts(most), rule.differ_within(n, most), (k + 1) << 40)
         k += 1
     return np.unique(np.concatenate(out)).view(np.int64)
 
@@ -131,29 +138,32 @@ def _sum(x: np.ndarray, salt: int) -> int:
     return int(np.array([mix(x ^ U(salt)).sum(dtype=np.uint64)], U).view(np.int64)[0])
 
 
-def signatures(docs: DataFrame, id_column: str, text: str, rule: Threshold) -> DataFrame:
-    """Per row: id, set size, two hashes of the set, the bitmap and the tiles."""
+def signatures(docs: DataFrame, rule: Threshold) -> DataFrame:
+    """Per row (id, text): id, set size, two hashes of the set, and the bitmap."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordIds()
+        for batch in batches:
+            if batch.num_rows:
+                sets = shingles(texts_of(batch), rule.words, known)
+                hashes = [pa.array([_sum(s, salt) for s in sets], pa.int64()) for salt in (1, 0x5851F42D4C957F2D)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), *hashes, pa.array([signature(s) for s in sets], pa.binary())], names=["id", "n", "set1", "set2", "bits"])
+
+    return docs.select("id", "text").mapInArrow(work, "id long, n long, set1 long, set2 long, bits binary")
+
+
+def tile_rows(docs: DataFrame, rule: Threshold) -> DataFrame:
+    """(tile, id): the tiles of every document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bands = WordIds(), rule.bands()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sets = shingles(texts_of(batch, text), rule.words, known)
-            keys = [tile_keys(s, rule, bands) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(id_column),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_sum(s, 1) for s in sets], pa.int64()),
-                    pa.array([_sum(s, 0x5851F42D4C957F2D) for s in sets], pa.int64()),
-                    pa.array([signature(s) for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(k) for k in keys])], pa.int32()), pa.array(np.concatenate(keys), pa.int64())),
-                ],
-                names=["id", "n", "set1", "set2", "bits", "tiles"],
-            )
-
-    return docs.select(id_column, text).mapInArrow(work, "id long, n long, set1 long, set2 long, bits binary, tiles array<long>")
+            if batch.num_rows:
+                keys = [tile_keys(s, rule, bands) for s in shingles(texts_of(batch), rule.words, known)]
+                ids = np.repeat(batch.column("id").to_numpy(), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids)], names=["tile", "id"])
+
+    return docs.select("id", "text").mapInArrow(work, "tile long, id long")
 
 
 def _bits(column) -> np.ndarray:
@@ -179,10 +189,14 @@ def _bounded(pairs: DataFrame, light: DataFrame, rule: Threshold) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(work, "a long, b long, same boolean")
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """A stored table with a hint to send it to all tasks if it is of few enough rows; else as it is, to be shuffled."""
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+
+
 def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of df whose id is among ids (stored, distinct): sent to all tasks if few enough, else shuffled."""
-    few = ids.count() <= SENT_IDS
-    return df.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    """The rows of df whose id is among ids (stored, distinct)."""
+    return df.join(_sent(ids), "id", "left_semi")
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, rule: Threshold) -> DataFrame:
@@ -326,12 +340,11 @@ def _with_end(batches):
 
 
 def _mixed(tiles: DataFrame, labels: DataFrame, light: DataFrame) -> DataFrame:
-    """Of the tiles with members of different components: a member of each different text, in blocks."""
-    placed = tiles.join(labels, "id", "left").select("tile", "id", F.coalesce("component", "id").alias("component")).join(light, "id")
-    one = placed.groupBy("tile", "set1", "set2", "n").agg(F.min("id").alias("id"), F.min("component").alias("component"), F.first("bits").alias("bits"))
-    many = one.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi")
-    dealt = one.join(many.select("tile", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "tile")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """The members of tiles that hold different components, in blocks. A tile has one member of each different text."""
+    placed = tiles.join(_sent(labels), "id", "left").select("tile", "id", F.coalesce("component", "id").alias("component"))
+    many = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi")
+    dealt = stored(placed.join(many.select("tile", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "tile"), "mixed")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(light.select("id", "n", "bits"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n", "bits")
     return dealt.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "id")
 
@@ -342,6 +355,17 @@ def _copies(light: DataFrame) -> DataFrame:
     return light.select("id", "set1", "set2", "n").join(firsts, ["set1", "set2", "n"]).filter("id > first").groupBy("id").agg(F.min("first").alias("first"))
 
 
+def _shared_tiles(keys: DataFrame) -> DataFrame:
+    """(tile, id, lo, hi): the members of every tile that has more than one, and its smallest and largest.
+
+    Keys are dealt by tile once, narrow as they are; the tiles that are shared, few of all, are found
+    and joined with the keys in the same partitions.
+    """
+    dealt = keys.repartition("tile")
+    shared = dealt.groupBy("tile").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
+    return dealt.join(shared.hint("shuffle_hash"), "tile").select("tile", "id", "lo", "hi")
+
+
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", rule: Threshold = Threshold()) -> DataFrame:
     """Per row: the id, ``n_shingles`` and ``component_id``, the smallest id that links reach.
 
@@ -352,13 +376,11 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     spark = docs.sparkSession
     batches_of(spark, 256)
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    table = stored(signatures(docs, "id", "text", rule), "signatures")
-    live = table.filter("n > 0 and id is not null")
-    light = live.select("id", "n", "set1", "set2", "bits")
-    keys = live.select("id", F.explode("tiles").alias("tile"))
-    shared = keys.groupBy("tile").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
+    table = stored(signatures(docs, rule), "signatures")
+    light = table.filter("n > 0 and id is not null")
     copies = stored(_copies(light), "copies")
-    tiles = stored(keys.join(shared, "tile").join(copies.select("id"), "id", "left_anti"), "tiles")
+    first = docs.filter("id is not null").join(_sent(copies.select("id")), "id", "left_anti")
+    tiles = stored(_shared_tiles(tile_rows(first, rule)), "tiles")
     pairs = [tiles.filter(F.col("id") != F.col(c)).select(F.least("id", c).alias("a"), F.greatest("id", c).alias("b")) for c in ("lo", "hi")]
     sets = stored(sets_of(docs, stored(tiles.select(F.explode(F.array("id", "hi")).alias("id")).distinct(), "ids"), rule), "sets")
     links = [copies.select(F.col("id").alias("a"), F.col("first").alias("b")), verified(pairs[0].union(pairs[1]).distinct(), light, sets, rule)]
