@@ -2,10 +2,10 @@
 
 Learning counts, over all training documents, every byte after its last ``depth`` bytes, and every
 word. The tree's weights are computed where the counts lie, dealt by a context's last two bytes, since
-the subtree below these is whole there; the few nodes above are computed once, from sums. Nodes that
-were seen often enough go to all tasks; ``most_nodes`` bounds them, whatever the corpus. Frequent words'
-counts go to all tasks as well, of bounded number too; the other words of a document are joined with
-their counts.
+the subtree below these is whole there; the few nodes above are computed once, from sums. There too,
+each distinct gram of the texts to score gets its probability, from all nodes. Frequent grams' and
+words' values go to all tasks, of bounded number; a document's other grams and words are joined with
+theirs.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,11 +29,11 @@ END = b""  # the token after a text's last word; no word is empty
 
 @dataclass(frozen=True)
 class Tree:
-    """``least``: how often a node must be seen to be kept; raised until at most ``most_nodes`` are."""
+    """``least``: how often a node must be seen to be kept. The other two bound what goes to all tasks, and change no score."""
 
     depth: int = 5
     least: int = 2
-    most_nodes: int = 2_000_000
+    hot_grams: int = 2_000_000
     hot_words: int = 500_000
     flush: int = 3_000_000
 
@@ -73,27 +74,34 @@ def gram_counts(docs: DataFrame, text: str, tree: Tree) -> DataFrame:
     return docs.select(text).mapInArrow(work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _columns(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    """A whole partition of grams, sorted."""
-    parts = [(b.column("gram").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
-    g = np.concatenate([p[0] for p in parts]).view(np.uint64) if parts else np.zeros(0, np.uint64)
-    n = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
+def _columns(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A whole partition of grams, sorted, with how often each was learnt and is asked for."""
+    parts = [[b.column(x).to_numpy() for x in ("gram", "c", "n")] for b in batches if b.num_rows]
+    g, c, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64) for _ in range(3))
+    g = g.view(np.uint64)
     order = np.argsort(g)
-    return g[order], n[order]
+    return g[order], c[order], n[order]
 
 
-def fit_tree(docs: DataFrame, text: str = "text", tree: Tree = Tree()) -> tuple[np.ndarray, np.ndarray]:
-    """The kept nodes' keys and predictions; no more than ``most_nodes``, which is what the driver gets."""
+def gram_logs(docs: DataFrame, train: DataFrame, text: str = "text", tree: Tree = Tree()) -> DataFrame:
+    """(gram, n, log): every gram of docs, how often it occurs there, and log10 of its probability.
+
+    The tree is that of ``train`` with all its nodes that were seen ``least`` times; no task and not the
+    driver gets more of it than the subtrees dealt to it and the nodes above them.
+    """
     spark = docs.sparkSession
     batches_of(spark)
-    grams = stored(gram_counts(docs, text, tree), "grams")
+    learnt = gram_counts(train, text, tree).select("gram", F.col("n").alias("c"), F.lit(0).cast("long").alias("n"))
+    asked = gram_counts(docs, text, tree).select("gram", F.lit(0).cast("long").alias("c"), "n")
+    grams = stored(learnt.unionByName(asked).groupBy("gram").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "grams")
     parts = max(8, grams.count() // 400_000 + 1)
     suffix = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << (8 * TOP)) - 1))
     dealt = grams.repartition(parts, suffix)
     depth = tree.depth
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, c = _columns(batches)
+        g, c, _ = _columns(batches)
+        g, c = g[c > 0], c[c > 0]
         for bit in range(8) if len(g) else ():
             tiers, weighted = climb(*deepest(g, c, bit), depth, TOP)
             _, key, n, n1, _, _ = tiers[-1]
@@ -101,7 +109,7 @@ def fit_tree(docs: DataFrame, text: str = "text", tree: Tree = Tree()) -> tuple[
 
     # Contexts of two bytes and what was decided: 2^24 nodes at most, whatever the corpus.
     found = dealt.mapInArrow(tops, "bit int, node long, n double, n1 double, weighted double").toArrow().to_pandas()
-    passes, kept_keys, kept_p = {}, [], []
+    passes, top_keys, top_p = {}, [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
     for bit, own in found.groupby("bit"):
         own = own.sort_values("node")
         key = own["node"].to_numpy().view(np.uint64)
@@ -109,30 +117,30 @@ def fit_tree(docs: DataFrame, text: str = "text", tree: Tree = Tree()) -> tuple[
         upper = tiers[1:]
         keys, n, p, passed = descend(upper, np.zeros(len(upper[-1][1])), np.ones(len(upper[-1][1])))
         keep = (n >= tree.least) | (keys < np.uint64(1 << 60))  # the root's nodes stay in any case
-        kept_keys.append(keys[keep]), kept_p.append(p[keep])
+        top_keys.append(keys[keep]), top_p.append(p[keep])
         place = tiers[0][5]
         passes[int(bit)] = (key, passed[0][place], passed[1][place])
-    shipped = spark.sparkContext.broadcast(passes)
-
-    def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, c = _columns(batches)
-        for bit in range(8) if len(g) else ():
-            tiers, _ = climb(*deepest(g, c, bit), depth, TOP)
-            key, sure, left = shipped.value[bit]
+    shipped = spark.sparkContext.broadcast((passes, np.concatenate(top_keys), np.concatenate(top_p)))
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, c, asked = _columns(batches)
+        passes, *top = shipped.value
+        keys, p1 = ([x] for x in top)
+        seen = c > 0
+        for bit in range(8) if seen.any() else ():
+            tiers, _ = climb(*deepest(g[seen], c[seen], bit), depth, TOP)
+            key, sure, left = passes[bit]
             at = np.searchsorted(key, tiers[-1][1])
-            keys, n, p, _ = descend(tiers, sure[at], left[at])
+            own, n, p, _ = descend(tiers, sure[at], left[at])
             keep = n >= tree.least
-            yield pa.RecordBatch.from_arrays([_signed(keys[keep]), pa.array(n[keep]), pa.array(p[keep].astype(np.float32))], names=["node", "n", "p"])
+            keys.append(own[keep]), p1.append(p[keep].astype(np.float32))
+        model = Model(np.concatenate(keys), np.concatenate(p1), depth)
+        g, asked = g[asked > 0], asked[asked > 0]
+        for k in range(0, len(g), 100_000):
+            part = g[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([_signed(part), pa.array(asked[k : k + 100_000]), pa.array(model.byte_log(part))], names=["gram", "n", "log"])
 
-    nodes = stored(dealt.mapInArrow(lower, "node long, n double, p float"), "nodes")
-    sizes = sorted((r.tier, r["count"]) for r in nodes.groupBy(F.floor(F.log2("n") * 4).cast("int").alias("tier")).count().collect())
-    least, total = 0.0, sum(n for _, n in sizes)
-    for tier, n in sizes:
-        if total <= tree.most_nodes:
-            break
-        least, total = 2 ** ((tier + 1) / 4), total - n
-    rows = nodes.filter(F.col("n") >= least).select("node", "p").toArrow().to_pandas()
-    return np.concatenate([*kept_keys, rows["node"].to_numpy().view(np.uint64)]) if kept_keys else np.zeros(0, np.uint64), np.concatenate([*kept_p, rows["p"].to_numpy(np.float32)]) if kept_p else np.zeros(0, np.float32)
+    return stored(dealt.mapInArrow(logs, "gram long, n long, log double"), "logs")
 
 
 def token_counts(docs: DataFrame, text: str = "text", flush: int = 500_000) -> DataFrame:
@@ -162,18 +170,16 @@ def token_counts(docs: DataFrame, text: str = "text", flush: int = 500_000) -> D
     return docs.select(text).mapInArrow(work, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _top(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent words, at most ``most``, cut between two tiers of counts so that ties stay together."""
-    tiers = sorted(((r.tier, r["count"]) for r in counts.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("tier")).count().collect()), reverse=True)
+def _top(counts: DataFrame, most: int) -> tuple[pd.DataFrame, DataFrame]:
+    """The most frequent rows, at most ``most``, cut between two tiers of counts so that ties stay together; and the others."""
+    tier = F.floor(F.log2("n") * 8)
     total, least = 0, None
-    for tier, n in tiers:
-        if total + n > most:
+    for r in sorted(counts.groupBy(tier.cast("int").alias("tier")).count().collect(), reverse=True):
+        if total + r["count"] > most:
             break
-        total, least = total + n, tier
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    rows = counts.filter(F.floor(F.log2("n") * 8) >= least).toArrow().to_pandas()
-    return rows["word"].to_numpy().view(np.uint64), rows["n"].to_numpy(np.float64)
+        total, least = total + r["count"], r.tier
+    hot = F.lit(False) if least is None else tier >= least
+    return counts.filter(hot).toArrow().to_pandas(), counts.filter(~hot)
 
 
 def score_texts(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", text: str = "text", tree: Tree = Tree()) -> DataFrame:
@@ -184,15 +190,18 @@ def score_texts(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", te
     has probability one half. Other columns are not looked at.
     """
     spark = docs.sparkSession
-    keys, p1 = fit_tree(train, text, tree)
+    hot_grams, cold_grams = _top(gram_logs(docs, train, text, tree), tree.hot_grams)
     counts = stored(token_counts(train, text), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     train_tokens, rest = int(total.n), float(np.log10(total.n + total.v + 1))
-    shipped = spark.sparkContext.broadcast((keys, p1, *_top(counts, tree.hot_words)))
+    hot_words, _ = _top(counts, tree.hot_words)
+    unsigned = lambda rows, column: rows[column].to_numpy().view(np.uint64)
+    shipped = spark.sparkContext.broadcast((unsigned(hot_grams, "gram"), hot_grams["log"].to_numpy(), unsigned(hot_words, "word"), hot_words["n"].to_numpy(np.float64)))
+    del hot_grams, hot_words
     batches_of(spark, 400)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hot, log_hot = _models(shipped, tree.depth)
+        frequent, log_frequent, hot, log_hot = _tables(shipped)
         known, row = WordIds(), TaskContext.get().partitionId() << 33
         for batch in batches:
             n = batch.num_rows
@@ -201,7 +210,12 @@ def score_texts(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", te
             known.fresh()
             texts = texts_of(batch, text)
             grams, sizes = grams_of([raw(t) for t in texts], tree.depth)
-            score = np.add.reduceat(model.log(grams), np.cumsum(sizes) - sizes)
+            at = frequent.find(grams)
+            score = np.add.reduceat(log_frequent[at], np.cumsum(sizes) - sizes)
+            rare = np.flatnonzero(at < 0)
+            own, g_id = np.unique(grams[rare], return_inverse=True)
+            g_pair, g_times = np.unique(np.repeat(np.arange(n), sizes)[rare] * (len(own) + 1) + g_id, return_counts=True)
+            g_doc, g_id = g_pair // (len(own) + 1), g_pair % (len(own) + 1)
             words, n_words = grouped_words(texts, lower=True)
             ids = known.ids(words)
             end = hot.find(known.hashes(np.array([known[END]])))
@@ -218,34 +232,38 @@ def score_texts(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", te
             pair, times = np.unique(c_doc * (len(known) + 1) + c_id, return_counts=True)
             c_doc, c_id = pair // (len(known) + 1), pair % (len(known) + 1)
             none = lambda kind, k: pa.nulls(k, kind)
-            names = ["row", "id", "n_tokens", "n_hot", "base", "score", "word", "times"]
+            names = ["row", "id", "n_tokens", "n_hot", "base", "score", "word", "gram", "times"]
             k = len(pair)
-            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column(id_column).cast(pa.int64()), pa.array(n_words + 1), pa.array(n_hot), pa.array(base), pa.array(score), none(pa.int64(), n), none(pa.int64(), n)], names=names)
-            if k:
-                yield pa.RecordBatch.from_arrays([pa.array(row + c_doc), none(pa.int64(), k), none(pa.int64(), k), none(pa.int64(), k), none(pa.float64(), k), none(pa.float64(), k), _signed(known.hashes(c_id)), pa.array(times)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column(id_column).cast(pa.int64()), pa.array(n_words + 1), pa.array(n_hot), pa.array(base), pa.array(score), *[none(pa.int64(), n)] * 3], names=names)
+            for doc, word, gram, times in ((c_doc, _signed(known.hashes(c_id)), none(pa.int64(), k), times), (g_doc, none(pa.int64(), len(g_doc)), _signed(own[g_id]), g_times)):
+                if k := len(doc):
+                    yield pa.RecordBatch.from_arrays([pa.array(row + doc), *[none(pa.int64(), k)] * 3, *[none(pa.float64(), k)] * 2, word, gram, pa.array(times)], names=names)
             row += n
 
     # Stored, so that the row numbers given above hold for both uses.
-    out = stored(docs.select(id_column, text).mapInArrow(work, "row long, id long, n_tokens long, n_hot long, base double, score double, word long, times long"), "scored")
+    out = stored(docs.select(id_column, text).mapInArrow(work, "row long, id long, n_tokens long, n_hot long, base double, score double, word long, gram long, times long"), "scored")
     cold = out.filter(F.col("word").isNotNull()).select("row", "word", "times").join(counts, "word", "left")
     c = F.coalesce("n", F.lit(0))
     cold = cold.groupBy("row").agg(F.sum(F.col("times") * F.log10(c + 1)).alias("cold"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_cold"))
-    whole = out.filter(F.col("word").isNull()).join(cold, "row", "left")
+    rare = out.filter(F.col("gram").isNotNull()).select("row", "gram", "times").join(cold_grams.select("gram", "log"), "gram")
+    rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("rare"))
+    whole = out.filter(F.col("n_tokens").isNotNull()).join(cold, "row", "left").join(rare, "row", "left")
     return whole.select(
         F.col("id").alias(id_column), "n_tokens", (F.col("n_hot") + F.coalesce("n_cold", F.lit(0))).cast("long").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("cold", F.lit(0.0)) - F.col("n_tokens") * F.lit(rest)).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("cold", F.lit(0.0)) - F.col("n_tokens") * F.lit(rest)).alias("base_score"),
+        (F.col("score") + F.coalesce("rare", F.lit(0.0))).alias("score"),
     )
 
 
 _LOADED: dict = {}
 
 
-def _models(shipped, depth: int) -> tuple[Model, Table, np.ndarray]:
-    """Built once per Python worker."""
+def _tables(shipped) -> tuple[Table, np.ndarray, Table, np.ndarray]:
+    """Built once per Python worker; the values end with that of what was not found."""
     if shipped not in _LOADED:
         _LOADED.clear()
-        keys, p1, words, n = shipped.value
-        _LOADED[shipped] = (Model(keys, p1, depth), Table(words, n), np.append(np.log10(n + 1), 0.0))
+        grams, logs, words, n = shipped.value
+        _LOADED[shipped] = (Table(grams, logs), np.append(logs, 0.0), Table(words, n), np.append(np.log10(n + 1), 0.0))
     return _LOADED[shipped]
 
 

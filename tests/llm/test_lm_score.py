@@ -92,6 +92,17 @@ def test_spark_tree_against_recursive_definition(spark, least):
         assert abs(got[d] - score(t.encode(), least)) < 1e-4 * max(1, abs(got[d])), t
 
 
+@pytest.mark.parametrize("hot", [0, 30, 1_000_000])
+def test_no_node_is_lost_to_what_goes_to_all_tasks(spark, hot):
+    train = ["abracadabra " * 3, "abra kadabra é", "cabana", "", "aa"]
+    docs = [(i, t) for i, t in enumerate([*train, "abba", "zzz abra", "ü"])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score_texts(df, df.filter(f"doc_id < {len(train)}"), tree=Tree(depth=3, hot_grams=hot)).collect()}
+    score = brute_tree([t.encode() for t in train], 3)
+    for d, t in docs:
+        assert abs(got[d] - score(t.encode(), 2)) < 1e-4 * max(1, abs(got[d])), t
+
+
 def test_probabilities_sum_to_one():
     g, c = np.unique(grams_of([b"the cat sat on the mat", b"that hat"], 3)[0], return_counts=True)
     keys, p = [], []
