@@ -27,8 +27,8 @@ from kinfold.sources.shared import fresh_folder, kept_table
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: Blocking as the queries run it: lines repeat common words far more than business records do.
-SPEC = B.Blocking(channels=(T.Channel("name", 200), T.Channel("addr", 60)))
+#: Blocking as the queries run it, with the library's own caps.
+SPEC = B.Blocking()
 CONFLICT = B.Blocking(channels=SPEC.channels, conflict_penalty=0.6, both_bonus=0.0)
 
 

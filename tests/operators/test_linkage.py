@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -13,6 +14,7 @@ from kinfold.operators import scoring as R
 from kinfold.operators import tokens as T
 from kinfold.operators import validate as V
 from kinfold.plans import linkage as L
+from kinfold.plans.catalogue import QUERIES
 from kinfold.sources import records as SRC
 from kinfold.sources import sinks as K
 
@@ -229,3 +231,17 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "a.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\tAcme Inc\t1 Main St, TX\tUS\n")
     tokens_to_table(read_stream(spark, str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "cp")).awaitTermination()
     assert rows(spark.read.parquet(str(tmp_path / "t")), "entity_id", "nm") == [("S1-1", "acme inc")]
+
+
+def written(spark, tmp_path, docs):
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_queries_join_tokens_of_more_than_sixty_targets(spark, tmp_path):
+    """Names without common words; one of two address words, each in some 100 of the 200 targets."""
+    word = lambda i, k: hashlib.sha256(f"{i} {k}".encode()).hexdigest()[:5]
+    d = written(spark, tmp_path, [(i, "en", " ".join(word(i, k) for k in range(5)) + (" harbour" if i % 2 else " meadow")) for i in range(300)])
+    c = QUERIES["er_block_country"](spark, d).filter("ca = 1").collect()
+    assert all(int(r.s1.split("-")[1]) % 2 == int(r.t.split("-")[1]) % 2 for r in c)
+    assert {r.s1 for r in c} == {f"S1-{i}-0" for i in range(0, 300, 3)}
