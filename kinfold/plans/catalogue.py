@@ -321,9 +321,19 @@ def er_gram_pairs(spark, sf_dir):
 sims AS (SELECT s1, t, round(0.6 * (len(list_intersect(list_distinct(a.tn), list_distinct(b.tn))) / greatest(1, len(list_distinct(list_concat(a.tn, b.tn))))) + 0.4 * (len(list_intersect(list_distinct(a.ta), list_distinct(b.ta))) / greatest(1, len(list_distinct(list_concat(a.ta, b.ta))))), 8) AS sim FROM every JOIN keyed a ON a.entity_id = s1 JOIN keyed b ON b.entity_id = t)
 SELECT * FROM (SELECT s1, t, sim, row_number() OVER (PARTITION BY s1 ORDER BY sim DESC, t)::INT AS rank FROM sims) WHERE rank <= 30""")
 def er_classic_candidates(spark, sf_dir):
+    """By keys and names alone, as its SQL; ``er_classic_candidates_whole`` has all indexes."""
     return B.classic_candidates(*keyed_sides(spark, sf_dir), 30, (NAME_INDEX,))
 
 
+_BY_NAME = ", every AS (SELECT s1, t FROM kpairs UNION SELECT s1, t FROM norm_name_p)"
+_BY_BOTH = f", {_grams_sql(B.GRAM_INDEXES[1]).strip()}{_BY_NAME[:-1]} UNION SELECT s1, t FROM norm_addr_p)"
+
+
+@query("er_classic_candidates_whole", ORACLE_SQL["er_classic_candidates"].replace(_BY_NAME, _BY_BOTH))
+def er_classic_candidates_whole(spark, sf_dir):
+    return B.classic_candidates(*keyed_sides(spark, sf_dir), 30)
+
+
 # --- features ------------------------------------------------------------------------------------------
 
 

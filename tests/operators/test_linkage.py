@@ -14,7 +14,7 @@ from kinfold.operators import scoring as R
 from kinfold.operators import tokens as T
 from kinfold.operators import validate as V
 from kinfold.plans import linkage as L
-from kinfold.plans.catalogue import QUERIES
+from kinfold.plans.catalogue import ORACLE_SQL, QUERIES
 from kinfold.sources import records as SRC
 from kinfold.sources import sinks as K
 
@@ -245,3 +245,10 @@ def test_queries_join_tokens_of_more_than_sixty_targets(spark, tmp_path):
     c = QUERIES["er_block_country"](spark, d).filter("ca = 1").collect()
     assert all(int(r.s1.split("-")[1]) % 2 == int(r.t.split("-")[1]) % 2 for r in c)
     assert {r.s1 for r in c} == {f"S1-{i}-0" for i in range(0, 300, 3)}
+
+
+def test_classic_candidates_by_address_alone(spark, tmp_path):
+    """No key and no name in common, and addresses that are alike but not equal."""
+    d = written(spark, tmp_path, [(0, "en", "quartz bison velvet jumpy zebra granite harbour lane seventeen"), (1, "en", "foggy milk thorn pixel crown granite harbour lane seventeen upper"), (2, "en", "wooden kayak plumb digit swarm meadow orchard")])
+    assert rows(QUERIES["er_classic_candidates_whole"](spark, d), "s1", "t") == [("S1-0-0", "S2-1-0")]
+    assert ORACLE_SQL["er_classic_candidates_whole"].count("norm_addr_p") == 2
