@@ -350,9 +350,10 @@ def _mixed(tiles: DataFrame, labels: DataFrame, light: DataFrame) -> DataFrame:
 
 
 def _copies(light: DataFrame) -> DataFrame:
-    """(id, first): every document whose set a document of smaller id has as well."""
+    """(id, firsts, more): every document with a set that one of smaller id has as well, the smallest for each such set; ``more``: it has another set besides."""
     firsts = light.groupBy("set1", "set2", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    return light.select("id", "set1", "set2", "n").join(firsts, ["set1", "set2", "n"]).filter("id > first").groupBy("id").agg(F.min("first").alias("first"))
+    marked = light.select("id", "set1", "set2", "n").join(firsts, ["set1", "set2", "n"], "left").withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
+    return marked.groupBy("id").agg(F.collect_set(F.when(F.col("copy"), F.col("first"))).alias("firsts"), F.max(~F.col("copy")).alias("more")).filter("size(firsts) > 0")
 
 
 def _shared_tiles(keys: DataFrame) -> DataFrame:
@@ -379,11 +380,11 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     table = stored(signatures(docs, rule), "signatures")
     light = table.filter("n > 0 and id is not null")
     copies = stored(_copies(light), "copies")
-    first = docs.filter("id is not null").join(_sent(copies.select("id")), "id", "left_anti")
+    first = docs.filter("id is not null").join(_sent(copies.filter("not more").select("id")), "id", "left_anti")
     tiles = stored(_shared_tiles(tile_rows(first, rule)), "tiles")
     pairs = [tiles.filter(F.col("id") != F.col(c)).select(F.least("id", c).alias("a"), F.greatest("id", c).alias("b")) for c in ("lo", "hi")]
     sets = stored(sets_of(docs, stored(tiles.select(F.explode(F.array("id", "hi")).alias("id")).distinct(), "ids"), rule), "sets")
-    links = [copies.select(F.col("id").alias("a"), F.col("first").alias("b")), verified(pairs[0].union(pairs[1]).distinct(), light, sets, rule)]
+    links = [copies.select(F.col("id").alias("a"), F.explode("firsts").alias("b")), verified(pairs[0].union(pairs[1]).distinct(), light, sets, rule)]
     labels = stored(components(links[0].unionByName(links[1])), "labels")
     for forest in (True, False):
         candidates = stored(_compared(_mixed(tiles.select("tile", "id"), labels, light), rule, forest), "candidates")

@@ -114,3 +114,12 @@ def test_nulls_repeats_clashing_columns_and_empty(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 3), (True, 0)]
     assert jaccard_components(df.filter("false")).count() == 0
+
+
+def test_an_id_with_a_copy_and_another_text(spark):
+    """Document 5 has the text of 3, and one that 7 nearly has; 10 has those of 3 and 9. All are one component."""
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    a, b = words(1, 60), words(2, 60)
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b + " end"), (8, a), (9, words(3, 60)), (10, a), (10, words(3, 60)), (11, words(4, 60))], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in jaccard_components(df, rule=Threshold(words=3, percent=90)).collect()}
+    assert got == {(3, 3), (5, 3), (7, 3), (8, 3), (9, 3), (10, 3), (11, 11)}
