@@ -74,10 +74,7 @@ def legal_flags(name: Column, name_tokens: Column, country: Column) -> dict[str,
     """Which of ten categories of legal form a name shows; France by its own forms, dotted or not."""
     plain = F.lower(F.regexp_replace(nfkd(text_or_empty(name)), "[̀-ͯ]", ""))
 
-    def pattern(letters: str) -> str:
-        return EDGE + "".join(x[0] + ("\\.?\\s?" if x.endswith("_") else "\\.?") for x in letters.split())[: -len("\\.?")] + END
-
-    own = {form: F.rlike(plain, F.lit(pattern(letters))) for form, (letters, _) in fixed.FRENCH_FORMS.items()}
+    own = {form: F.rlike(plain, F.lit(EDGE + pattern + END)) for form, (pattern, _) in fixed.FRENCH_FORMS.items()}
     own["sas"] = own["sas"] & ~own["sasu"]
     own["sa"] = own["sa"] & ~own["sas"] & ~own["sasu"] & ~own["sarl"]
     out = {}
