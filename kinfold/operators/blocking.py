@@ -1,7 +1,8 @@
 """Blocking: candidate pairs from shared tokens, keys and character n-grams.
 
-Partitions are a join key, never a loop. The document-frequency cap of a channel bounds how many rows
-a token can join with on the target side, and so the skew of the token join.
+Partitions are a key, never a loop. Cosines come from blocks of vectors (``products``), so that a token
+which very many records have costs multiplications inside tasks and no joined rows; the
+document-frequency cap of a channel bounds these.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from pyspark.sql import functions as F
 from kinfold.functions import extract as X
 from kinfold.functions import fixed
 from kinfold.functions import text as N
+from kinfold.operators.products import Best, best_pairs, vectors
 from kinfold.operators.tokens import Channel, channel_tokens
 from kinfold.sources.shared import kept_table
 
 UNRANKED = 99
-DIGITS = 6  # of a cosine; it is rounded once, before anything is ranked by it
+STATE = "state"  # the channel of states
 
 
 @dataclass(frozen=True)
@@ -72,14 +74,18 @@ def weights(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     return known.withColumn("norm", norm).filter("norm > 0").select("part", "entity_id", "channel", "token", (F.col("idf") / F.col("norm")).alias("w"))
 
 
-def pair_scores(q: DataFrame, t: DataFrame, channels: tuple[Channel, ...]) -> DataFrame:
-    """(part, s1, t, cn, ca): weighted cosines of the first two channels, from one join on tokens."""
-    a = q.select("part", "channel", "token", F.col("entity_id").alias("s1"), F.col("w").alias("wq"))
-    b = t.select("part", "channel", "token", F.col("entity_id").alias("t"), F.col("w").alias("wt"))
-    by = [F.round(F.sum(F.when(F.col("channel") == c.name, F.col("wq") * F.col("wt") * c.weight).otherwise(0.0)), DIGITS).alias(alias) for c, alias in zip(channels, ("cn", "ca"))]
-    if len(by) == 1:
-        by.append(F.lit(0.0).alias("ca"))
-    return a.join(b, ["part", "channel", "token"]).groupBy("part", "s1", "t").agg(*by)
+def pair_scores(q: DataFrame, t: DataFrame, channels: tuple[Channel, ...], best: Best) -> DataFrame:
+    """(part, s1, t, cn, ca, clash): weighted cosines of the first two channels, of pairs that may be among the best."""
+    weight = F.lit(1.0)
+    for c in channels:
+        weight = F.when(F.col("channel") == c.name, c.weight).otherwise(weight)
+    names = (*[c.name for c in channels], "")[:2]
+    return best_pairs(vectors(q.withColumn("w", F.col("w") * weight), (*names, STATE)), vectors(t, (*names, STATE)), best)
+
+
+def states_of(df: DataFrame) -> DataFrame:
+    """A record's states as tokens of a third channel, which only tell whether two records clash."""
+    return df.select("part", "entity_id", F.lit(STATE).alias("channel"), F.explode(F.array_distinct("states")).alias("token"), F.lit(1.0).alias("w"))
 
 
 def ranked(pairs: DataFrame, spec: Blocking, group: tuple[str, ...] = ("part",)) -> DataFrame:
@@ -91,8 +97,7 @@ def ranked(pairs: DataFrame, spec: Blocking, group: tuple[str, ...] = ("part",))
     sc = F.col("cn") + F.col("ca")
     df = pairs.filter(F.round(sc, 8) >= spec.floor)
     if spec.conflict_penalty:
-        clash = (F.size("states_q") > 0) & (F.size("states_t") > 0) & ~F.arrays_overlap("states_q", "states_t")
-        sc = sc - F.when(clash, F.lit(spec.conflict_penalty)).otherwise(0.0)
+        sc = sc - F.when(F.col("clash"), F.lit(spec.conflict_penalty)).otherwise(0.0)
         df = df.filter(F.round(sc, 8) >= spec.floor)
     df = df.withColumn("sc", F.round(sc + spec.both_bonus * F.least("cn", "ca"), 8))
     place = lambda key, tie: F.row_number().over(Window.partitionBy(*group, key).orderBy(F.desc("sc"), tie)) - 1
@@ -126,18 +131,20 @@ def block(s1: DataFrame, targets: DataFrame, spec: Blocking = Blocking(), by_sta
     # tokens and vocabulary are read two or three times each, so they are stored
     t_tokens = kept_table(channel_tokens(parts, spec.channels, ("part",)))
     vocab = kept_table(vocabulary(t_tokens, sizes, spec.channels))
-    pairs = pair_scores(weights(channel_tokens(q, spec.channels, ("part",)), vocab), weights(t_tokens, vocab), spec.channels)
+    one, two = weights(channel_tokens(q, spec.channels, ("part",)), vocab), weights(t_tokens, vocab)
     if spec.conflict_penalty:
-        pairs = pairs.join(s1.select(F.col("entity_id").alias("s1"), F.col("states").alias("states_q")), "s1").join(targets.select(F.col("entity_id").alias("t"), F.col("states").alias("states_t")), "t")
-    return merged(ranked(pairs, spec), spec)
+        one, two = one.unionByName(states_of(q)), two.unionByName(states_of(parts))
+    best = Best(spec.forward, spec.reverse, spec.floor, bonus=spec.both_bonus, penalty=spec.conflict_penalty)
+    # pairs are read for both rankings, and are few: at most forward a query and reverse a target, and block
+    return merged(ranked(kept_table(pair_scores(one, two, spec.channels, best)), spec), spec)
 
 
 def top_in_channel(q: DataFrame, t: DataFrame, channel: Channel, k: int, floor: float = 0.0) -> DataFrame:
-    """(s1, t, sc, rank): the k nearest targets in one channel; both sides with a column ``part``."""
+    """(s1, t, sc, rank): the k nearest targets in one channel, of a cosine above 0 and from ``floor`` on; both sides with a column ``part``."""
     sizes = t.groupBy("part").agg(F.count("*").alias("n"))
     tokens = channel_tokens(t, (channel,), ("part",))
     vocab = vocabulary(tokens, sizes, (channel,))
-    pairs = pair_scores(weights(channel_tokens(q, (channel,), ("part",)), vocab), weights(tokens, vocab), (channel,)).filter(F.col("cn") >= floor)
+    pairs = pair_scores(weights(channel_tokens(q, (channel,), ("part",)), vocab), weights(tokens, vocab), (channel,), Best(k, floor=floor))
     place = F.row_number().over(Window.partitionBy("part", "s1").orderBy(F.desc("cn"), "t")) - 1
     return pairs.withColumn("rank", place).filter(F.col("rank") < k).select("s1", "t", F.col("cn").alias("sc"), "rank")
 
@@ -216,9 +223,8 @@ def gram_pairs(q: DataFrame, t: DataFrame, index: GramIndex) -> DataFrame:
         w = c.join(idf, ["country", "g"]).withColumn("x", F.col("tf") * F.col("idf"))
         return w.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("country", "entity_id"))))
 
-    a = weighed(qc).select("country", "g", F.col("entity_id").alias("s1"), F.col("x").alias("a"))
-    b = weighed(tc).select("country", "g", F.col("entity_id").alias("t"), F.col("x").alias("b"))
-    sc = a.join(b, ["country", "g"]).groupBy("s1", "t").agg(F.round(F.sum(F.col("a") * F.col("b")), DIGITS).alias("sc")).filter(F.col("sc") > index.floor)
+    side = lambda c: vectors(weighed(c).select(F.col("country").alias("part"), "entity_id", F.lit("gram").alias("channel"), F.col("g").alias("token"), F.col("x").alias("w")), ("gram",))
+    sc = best_pairs(side(qc), side(tc), Best(index.top, floor=index.floor, above=True)).select("s1", "t", F.col("cn").alias("sc"))
     place = F.row_number().over(Window.partitionBy("s1").orderBy(F.desc("sc"), "t"))
     return sc.withColumn("__r", place).filter(F.col("__r") <= index.top).drop("__r")
 
