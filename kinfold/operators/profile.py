@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions import extract as X
@@ -18,6 +18,16 @@ def file_profile(named: dict[str, DataFrame | None]) -> DataFrame:
     return out
 
 
+def file_sizes(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(file, bytes) of files or folders of parts, asked of the file system that each lies in; null where there is none."""
+    rows = []
+    for name, path in paths.items():
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        rows.append((name, fs.getContentSummary(p).getLength() if fs.exists(p) else None))
+    return spark.createDataFrame(rows, "file string, bytes long")
+
+
 def truth_profile(lists: DataFrame) -> DataFrame:
     """(matches, entities, percent): how many queries have how many partners."""
     n = lists.groupBy(F.size("matches").cast("long").alias("matches")).agg(F.count("*").alias("entities"))

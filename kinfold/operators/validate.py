@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.sources.records import exists, read_ids
@@ -67,16 +67,16 @@ def check_file(spark: SparkSession, path: str, header: tuple[str, str], required
 
     if not exists(spark, path):
         return broken("no_file", path)
-    lines = spark.read.text(path).withColumn("value", F.regexp_replace("value", "\r$", ""))
-    first = lines.limit(1).collect()
-    if not first:
+    # One column, so that each line stays whole; the first line of each part is its header, any other like it is a row.
+    lines = spark.read.csv(path, sep="\u0001", header=True, quote="", inferSchema=False)
+    if not lines.columns:
         return broken("empty_file", path)
-    head = first[0].value
+    head = lines.columns[0]
     if "\t" not in head and "," in head:
         return broken("comma_separated", head)
     if tuple(c.strip().lower() for c in head.split("\t")) != header:
         return broken("header", head)
-    body = lines.filter(F.col("value") != head)
+    body = lines.toDF("value", *lines.columns[1:]).select(F.regexp_replace("value", "\r$", "").alias("value"))
     lists = lists_of(body.filter(F.contains("value", F.lit("\t"))).select(F.substring_index("value", "\t", 1).alias("a"), F.expr("substring(value, instr(value, '\t') + 1)").alias("b")))
     bad = _found(body.filter(~F.contains("value", F.lit("\t")) & (F.trim("value") != "")).select(F.col("value").alias("x")), file, "no_tab", "error")
     return bad.unionByName(check_lists(lists, file, required, valid)), lists
@@ -120,7 +120,3 @@ def raise_if_broken(findings: DataFrame) -> None:
     bad = findings.filter("severity = 'error'").limit(20).collect()
     if bad:
         raise AssertionError("; ".join(f"{r.file}: {r.rule} ({r.n_offenders}, e.g. {', '.join(r.examples)})" for r in bad))
-
-
-def has_prefix(c: Column) -> Column:
-    return F.startswith(c, F.lit("S2-")) | F.startswith(c, F.lit("S3-"))

@@ -1,20 +1,28 @@
 import hashlib
 import math
+import os
+import random
+from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from kinfold.functions import similarity as K_
 from kinfold.operators import blocking as B
 from kinfold.operators import decide as D
 from kinfold.operators import evaluate as E
 from kinfold.operators import features as P
 from kinfold.operators import models as M
+from kinfold.operators import products as X
 from kinfold.operators import profile as A
 from kinfold.operators import scoring as R
 from kinfold.operators import tokens as T
 from kinfold.operators import validate as V
 from kinfold.plans import linkage as L
-from kinfold.plans.catalogue import ORACLE_SQL, QUERIES
+from kinfold.plans import files  # noqa: F401  registers its queries
+from kinfold.plans.catalogue import CLASSIC_WHOLE_SQL
+from kinfold.plans.registry import ORACLE_SQL, QUERIES
 from kinfold.sources import records as SRC
 from kinfold.sources import sinks as K
 
@@ -250,5 +258,96 @@ def test_queries_join_tokens_of_more_than_sixty_targets(spark, tmp_path):
 def test_classic_candidates_by_address_alone(spark, tmp_path):
     """No key and no name in common, and addresses that are alike but not equal."""
     d = written(spark, tmp_path, [(0, "en", "quartz bison velvet jumpy zebra granite harbour lane seventeen"), (1, "en", "foggy milk thorn pixel crown granite harbour lane seventeen upper"), (2, "en", "wooden kayak plumb digit swarm meadow orchard")])
-    assert rows(QUERIES["er_classic_candidates_whole"](spark, d), "s1", "t") == [("S1-0-0", "S2-1-0")]
-    assert ORACLE_SQL["er_classic_candidates_whole"].count("norm_addr_p") == 2
+    assert rows(QUERIES["er_classic_candidates"](spark, d), "s1", "t") == [("S1-0-0", "S2-1-0")]
+    assert rows(QUERIES["er_classic_by_name"](spark, d), "s1", "t") == []
+
+
+def against_sql(spark, folder, df, sql):
+    c = duckdb.connect()
+    for name in os.listdir(folder):
+        c.sql(f"create view {name.removesuffix('.parquet')} as select * from '{folder}/{name}'")
+    want = c.sql(sql)
+    cols = sorted(want.columns)
+    assert sorted(df.columns) == cols
+    key = lambda r: [str(x) for x in r]
+    assert sorted((tuple(r[x] for x in cols) for r in df.collect()), key=key) == sorted(want.select(*cols).fetchall(), key=key)
+
+
+def test_classic_candidates_against_sql(spark, small):
+    against_sql(spark, small, QUERIES["er_classic_candidates"](spark, small), CLASSIC_WHOLE_SQL)
+
+
+@pytest.mark.parametrize("name", ["er_ragged_tsv", "er_renamed_headers", "er_two_catalogues", "er_source_ids", "er_stored_country", "er_truth_file", "er_file_sizes", "er_validate_files", "er_validate_strict", "er_validate_broken", "er_legal_flags"])
+def test_file_queries_against_sql(spark, small, name):
+    against_sql(spark, small, QUERIES[name](spark, small), ORACLE_SQL[name])
+
+
+def test_best_pairs_against_all_pairs(spark, monkeypatch):
+    """Blocks of a few records, against the whole product; ties go to the smaller id."""
+    monkeypatch.setattr(X, "QUERIES", 7)
+    monkeypatch.setattr(X, "TARGETS", 9)
+    r = random.Random(6)
+    rows = lambda side, n: [(f"p{k % 3}", f"{side}{k:02}", c, f"{c}{w}", r.choice([0.2, 0.25, 0.5])) for k in range(n) for c in ("name", "addr") for w in r.sample(range(12), 4)]
+    states = lambda side, n: [(f"p{k % 3}", f"{side}{k:02}", "state", f"s{r.randrange(3)}", 1.0) for k in range(n) if k % 4]
+    q, t = rows("q", 40) + states("q", 40), rows("t", 50) + states("t", 50)
+    schema = "part string, entity_id string, channel string, token string, w double"
+    side = lambda x: X.vectors(spark.createDataFrame(x, schema), ("name", "addr", "state"))
+    for spec in (X.Best(3, 1, 0.3, bonus=0.5, penalty=0.2), X.Best(2, 2, 0.25), X.Best(4, 0, 0.25, above=True)):
+        table = {}
+        for p, a, c, w, x in q:
+            for p2, b, c2, w2, y in t:
+                if p == p2 and c == c2 and w == w2:
+                    table.setdefault((p, a, b), {"name": 0.0, "addr": 0.0, "state": 0.0})[c] += x * y
+        stated = {i for _, i, c, *_ in q + t if c == "state"}
+        scored = {}
+        for (p, a, b), s in table.items():
+            cn, ca = round(s["name"] + 1e-12, 6), round(s["addr"] + 1e-12, 6)
+            clash = bool(spec.penalty) and a in stated and b in stated and not s["state"]
+            base = cn + ca - spec.penalty * clash
+            if cn + ca > 0 and min(round(base, 8), round(cn + ca, 8)) >= spec.floor and not (spec.above and round(base, 8) <= spec.floor):
+                scored[p, a, b] = round(base + spec.bonus * min(cn, ca), 8)
+        want = set()
+        for own, other, most in ((1, 2, spec.forward), (2, 1, spec.reverse)):
+            for key in {(k[0], k[own]) for k in scored}:
+                best = sorted((-s, k[other], k) for k, s in scored.items() if (k[0], k[own]) == key)[:most]
+                want |= {k for *_, k in best}
+        got = {(x.part, x.s1, x.t): x for x in X.best_pairs(side(q), side(t), spec).collect()}
+        assert want <= got.keys() <= scored.keys()
+        for k, x in got.items():
+            assert round(x.cn + x.ca - spec.penalty * x.clash + spec.bonus * min(x.cn, x.ca), 8) == pytest.approx(scored[k], abs=1e-9)
+    assert X.best_pairs(side(q), side(t).filter("false"), X.Best(3)).count() == 0
+
+
+def test_rule_score_by_hand(spark):
+    """The flagship's score, all eleven terms, from the kernels of single pairs."""
+    s1, t = (P.classic_view(spark.createDataFrame(x, REC)) for x in (S1, TG))
+    pairs = spark.createDataFrame([(a[0], b[0]) for a in S1 for b in TG], "s1 string, t string")
+    f = P.features_v1(pairs, s1, t)
+    one, two = {r.entity_id: r for r in s1.collect()}, {r.entity_id: r for r in t.collect()}
+
+    def cosine(a, b):
+        x, y = (Counter(v[i : i + 2] for i in range(len(v) - 1)) for v in (a, b))
+        norm = math.sqrt(sum(v * v for v in x.values())) * math.sqrt(sum(v * v for v in y.values()))
+        return sum(min(x[k], y[k]) for k in x) / norm if norm else 0.0
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    for r in f.withColumn("score", R.rule_score(f)).collect():
+        a, b = one[r.s1], two[r.t]
+        w = 0.28 * (a.nn == b.nn != "") + 0.18 * K_.jaro_winkler(a.nn, b.nn) + 0.10 * K_.token_set_ratio(a.nn, b.nn) / 100 + 0.08 * (1 - distance(a.nn, b.nn) / max(1, len(a.nn), len(b.nn)))
+        w += 0.12 * K_.token_set_ratio(a.na, b.na) / 100 + 0.08 * K_.ratio(a.na, b.na) / 100 + 0.08 * (a.post is not None and a.post == b.post) + 0.04 * (0.5 if None in (a.num, b.num) else a.num == b.num) + 0.04 * (a.c == b.c)
+        w += 0.04 * cosine(a.nn, b.nn) + 0.04 * cosine(a.na, b.na)
+        assert r.score == pytest.approx(w), (r.s1, r.t)
+
+
+def test_a_header_line_among_the_rows_is_a_row(spark, tmp_path):
+    (tmp_path / "s1.tsv").write_text("entity_id\nS1-1\n")
+    (tmp_path / "m.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\t\nsource1_entity_id\tmatched_entity_ids\n")
+    found = V.validate(spark, str(tmp_path / "m.tsv"), None, str(tmp_path / "s1.tsv")).collect()
+    assert {(r.rule, tuple(r.examples)) for r in found} == {("unknown_row", ("source1_entity_id",)), ("wrong_prefix", ("matched_entity_ids",))}
