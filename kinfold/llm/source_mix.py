@@ -14,7 +14,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WORD = "[^\\x20\\x09-\\x0D]+"
+from kinfold.llm._common import stored
+
+APPENDED = ("size", "source_size", "target", "taken")
 
 
 @dataclass(frozen=True)
@@ -76,24 +78,28 @@ def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return df.withColumn("target", F.least(F.col("__cap"), F.coalesce(F.col("__level") * F.col("weight"), F.col("__cap")))).drop("__cap", "__level")
 
 
+def _sized(docs: DataFrame, row: Column, id_column: str, text: str, source: str, mix: Mix) -> DataFrame:
+    """(row, source, h, size), stored, so that the texts are split once."""
+    h = F.xxhash64(F.lit(mix.seed), F.col(id_column))
+    return stored(docs.select(row.alias("row"), F.col(source).alias("source"), h.alias("h"), word_count(F.col(text)).alias("size")), "sizes", lasting=True)
+
+
 def mix_sources(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", mix: Mix = Mix()) -> DataFrame:
     """Append ``size``, ``source_size``, ``target`` and ``taken`` (words taken, repeats counted).
 
     A null text has size 0 and nothing is taken of it; a null source is a source, the last. Repeated
     rows are documents of their own. A run on the same rows takes the same words. Columns of these
-    four names are replaced, all others kept; an empty table gives an empty result.
+    four names are replaced, even that of the text, and all others kept; an empty table gives an empty
+    result.
     """
-    names = ("size", "source_size", "target", "taken")
-    docs = docs.select(*[c for c in docs.columns if c not in names])
-    sized = docs.withColumn("size", word_count(F.col(text)))
-    return _mixed(sized, id_column, source, mix)
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in APPENDED]
+    return _mixed(_sized(docs, F.struct(*docs.columns), id_column, text, source, mix), mix).select(*kept, *APPENDED)
 
 
-def _mixed(sized: DataFrame, id_column: str, source: str, mix: Mix) -> DataFrame:
-    kept = [c for c in sized.columns if c != "size"]
-    body = F.struct(*kept)
+def _mixed(sized: DataFrame, mix: Mix) -> DataFrame:
+    """From (row, source, h, size): (row, size, source_size, target, taken)."""
     b = mix.block_words
-    hashed = sized.select(F.col(source).alias("__source"), F.xxhash64(F.lit(mix.seed), F.col(id_column)).alias("__h"), "size", body.alias("__row"))
+    hashed = sized.select(F.col("source").alias("__source"), F.col("h").alias("__h"), "size", F.col("row").alias("__row"))
     sizes = hashed.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, mix)
     total = F.sum("source_size").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -125,7 +131,7 @@ def _mixed(sized: DataFrame, id_column: str, source: str, mix: Mix) -> DataFrame
     chosen = lambda k: (picked(k + 1) - picked(k)).cast("long")
     extra = F.when(F.col("size") > 0, F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, k: acc + overlap(k) * chosen(k))).otherwise(F.lit(0).cast("long"))
     taken = (F.col("size") * F.col("__whole") + extra).cast("long")
-    return laid.select("__row.*", "size", "source_size", "target", taken.alias("taken"))
+    return laid.select(F.col("__row").alias("row"), "size", "source_size", "target", taken.alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", mix: Mix = Mix()) -> DataFrame:
@@ -135,14 +141,15 @@ def mixed_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     quotient, so sources keep their shares; documents without words are not in a mixture. Rows that
     share an id share a draw, null ids included. Only ids and sizes take part in the mixing itself.
     """
-    narrow = docs.select(F.col(id_column).alias("id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    narrow = _sized(docs, F.struct(F.col(id_column).alias("id")), id_column, text, source, mix)
     draw = (F.pmod(F.xxhash64(F.lit(mix.seed + 3), "id"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    taken = _mixed(narrow, "id", "source", mix).groupBy("id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).filter("size > 0")
+    taken = _mixed(narrow, mix).groupBy("row.id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).filter("size > 0")
     times = taken.select(F.col("id").alias("__id"), F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias("__times")).filter("__times > 0")
     return docs.join(times, docs[id_column].eqNullSafe(times["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
 
 
 def op7_source_mix(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    return _mixed(sized, "doc_id", "source", Mix()).select("doc_id", "size", "source_size", "target", "taken")
+    """Every row of ``documents``: nulls, ties, repeats and an empty table as in ``mix_sources``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    sized = _sized(docs, F.struct("doc_id"), "doc_id", "text", "source", Mix())
+    return _mixed(sized, Mix()).select("row.doc_id", *APPENDED)

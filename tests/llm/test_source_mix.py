@@ -67,3 +67,54 @@ def test_highest_quotients(spark):
     want = Counter(n for _, _, n in q)
     df = spark.createDataFrame([(n, v, seats) for n, v in shares], "s string, share double, seats long")
     assert {r.s: r.quota for r in _highest_quotients(df, "share", "seats", None, "s").collect()} == {n: want[n] for n, _ in shares}
+
+
+def highest(shares, seats):
+    """Seats by listing all quotients; shares are in the order that breaks ties."""
+    got = [0] * len(shares)
+    quotients = sorted((-v / (2 * k + 1), i, k) for i, v in enumerate(shares) if v > 0 for k in range(seats + 1))
+    for _, i, _ in quotients[:seats]:
+        got[i] += 1
+    return got
+
+
+def test_blocks_and_quotas_against_brute_force(spark):
+    """Every shard's quota by all quotients, and every word's block by laying the words out."""
+    mix = Mix(block_words=8, shard_words=300)
+    rows = [(i, "w " * (5 + i * 7 % 60), ("big", "mid", None, "tiny")[0 if i % 10 < 6 else 1 if i % 10 < 8 else 2 if i < 350 else 3]) for i in range(360)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.taken for r in mix_sources(df, mix=mix).collect()}
+    seen = df.select("doc_id", "source", F.size(F.split(F.trim("text"), " ")).alias("size"), F.xxhash64(F.lit(mix.seed), "doc_id").alias("h")).withColumn("deal", F.xxhash64(F.lit(mix.seed + 1), "h")).collect()
+    sizes = Counter()
+    for r in seen:
+        sizes[r.source] += r.size
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want, b = expected_targets(sizes), mix.block_words
+    quotas = dict(zip(order, highest([want[s] / b for s in order], int(sum(sizes.values()) / b + 0.5))))
+    for rank, s in enumerate(order, 1):
+        n = max(1, -(-sizes[s] // mix.shard_words))
+        shards = defaultdict(list)
+        for r in seen:
+            if r.source == s:
+                shards[r.deal % n].append(r)
+        own = highest([quotas[s] * sum(r.size for r in shards[k]) / sizes[s] for k in sorted(shards)], quotas[s])
+        assert sum(own) == quotas[s]
+        for k, blocks in zip(sorted(shards), own):
+            words = sum(r.size for r in shards[k])
+            has = max(1, int(words / b + 0.5))
+            turn = spark.range(1).select(F.pmod(F.xxhash64(F.lit(mix.seed + 2), F.lit(rank), F.lit(k).cast("long")), F.lit(has)).alias("x")).first().x
+            whole = min(blocks // has, mix.most)
+            rest = 0 if blocks // has >= mix.most else blocks % has
+            times = [whole + (p + 1 + turn) * rest // has - (p + turn) * rest // has for p in range(has)]
+            of_word = [p for p in range(has) for _ in range((p + 1) * words // has - p * words // has)]
+            at = 0
+            for r in sorted(shards[k], key=lambda r: r.h):
+                assert got[r.doc_id] == sum(times[p] for p in of_word[at : at + r.size]), (s, k, r.doc_id)
+                at += r.size
+
+
+def test_very_long_texts_and_a_text_column_of_a_taken_name(spark):
+    df = spark.createDataFrame([(1, "word " * 200_000, "a"), (2, "x " * 50, "a"), (3, "y " * 70_000, "b")], "doc_id long, taken string, source string")
+    got = {r.doc_id: r for r in mix_sources(df, text="taken").collect()}
+    assert [got[i].size for i in (1, 2, 3)] == [200_000, 50, 70_000]
+    assert abs(sum(r.taken for r in got.values()) - 270_050) < 1000 and all(0 <= r.taken <= 3 * r.size for r in got.values())
