@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 QUERIES, TARGETS = 1024, 2048  # records of a block; their products are a few arrays of 16 MB
 FLAT = 64  # a token of fewer products is multiplied together with others
+DENSE, COLUMNS = 20_000, 512  # a token of as many goes into dense matrices of so many tokens
 CHUNK = 1 << 20  # products of such tokens at a time
 DIGITS = 6  # of a cosine; it is rounded once, before anything is ranked by it
 
@@ -61,10 +62,21 @@ def _products(qk, qi, qw, tk, ti, tw, shape: tuple[int, int]) -> np.ndarray:
     key_t, at_t, n_t = np.unique(tk, return_index=True, return_counts=True)
     _, a, b = np.intersect1d(key_q, key_t, assume_unique=True, return_indices=True)
     at_q, n_q, at_t, n_t = at_q[a], n_q[a], at_t[b], n_t[b]
-    many = n_q * n_t >= FLAT
+    dense = np.flatnonzero(n_q * n_t >= DENSE)
+    for lo in range(0, len(dense), COLUMNS):
+        own = dense[lo : lo + COLUMNS]
+        sides = []
+        for i, w, at, n, size in ((qi, qw, at_q, n_q, shape[0]), (ti, tw, at_t, n_t, shape[1])):
+            columns = np.repeat(np.arange(len(own)), n[own])
+            x = np.repeat(at[own] - np.r_[0, np.cumsum(n[own])[:-1]], n[own]) + np.arange(len(columns))
+            sides.append(np.zeros((size, len(own))))
+            sides[-1][i[x], columns] = w[x]
+        out += sides[0] @ sides[1].T
+    many = (n_q * n_t >= FLAT) & (n_q * n_t < DENSE)
     for sq, nq, st, nt in zip(at_q[many].tolist(), n_q[many].tolist(), at_t[many].tolist(), n_t[many].tolist()):
         out[qi[sq : sq + nq, None], ti[st : st + nt]] += qw[sq : sq + nq, None] * tw[st : st + nt]
-    at_q, n_q, at_t, n_t = at_q[~many], n_q[~many], at_t[~many], n_t[~many]
+    few = n_q * n_t < FLAT
+    at_q, n_q, at_t, n_t = at_q[few], n_q[few], at_t[few], n_t[few]
     size = n_q * n_t
     ends = np.cumsum(size)
     for lo in range(0, len(size), CHUNK // FLAT):

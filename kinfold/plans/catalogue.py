@@ -393,7 +393,7 @@ _SIMPLE = lambda x: f"CASE WHEN a.{x} = b.{x} THEN 1.0 WHEN len(a.{x}_b) = 0 OR
 _SETJ = lambda x: f"CASE WHEN len(a.{x}) = 0 AND len(b.{x}) = 0 THEN 1.0 ELSE {_JACC('a.' + x, 'b.' + x)} END"
 _CONT = lambda x: f"CASE WHEN least(len(a.{x}), len(b.{x})) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct(a.{x}), list_distinct(b.{x}))) / least(len(list_distinct(a.{x})), len(list_distinct(b.{x}))) END"
 _HIST = lambda x: f"list_aggregate({x}_b, 'histogram') AS {x}_h"
-_COS = lambda x: f"CASE WHEN len(a.{x}_b) = 0 OR len(b.{x}_b) = 0 THEN 0.0 ELSE list_sum(list_transform(list_intersect(map_keys(a.{x}_h), map_keys(b.{x}_h)), lambda k: least(a.{x}_h[k], b.{x}_h[k]))) / (sqrt(list_sum(list_transform(map_values(a.{x}_h), lambda v: v * v))) * sqrt(list_sum(list_transform(map_values(b.{x}_h), lambda v: v * v)))) END"
+_COS = lambda x: f"CASE WHEN len(a.{x}_b) = 0 OR len(b.{x}_b) = 0 THEN 0.0 ELSE coalesce(list_sum(list_transform(list_intersect(map_keys(a.{x}_h), map_keys(b.{x}_h)), lambda k: least(a.{x}_h[k], b.{x}_h[k]))), 0) / (sqrt(list_sum(list_transform(map_values(a.{x}_h), lambda v: v * v))) * sqrt(list_sum(list_transform(map_values(b.{x}_h), lambda v: v * v)))) END"
 _SHARE = lambda inside, empty: f"CASE WHEN length(coalesce(business_name, '')) = 0 THEN {empty} ELSE length(regexp_replace(business_name, '[^{inside}]', '', 'g')) / length(business_name) END"
 RULES_SQL = (*KEPT, CLASSIC_SQL, f"""cv0 AS (SELECT *, {_BG("norm_name")} AS norm_name_b, {_BG("norm_addr")} AS norm_addr_b FROM keyed),
 cv AS (SELECT cv0.*, {_HIST("norm_name")}, {_HIST("norm_addr")}, {_SHARE(fixed.INDIC_CLASSIC, "0.0")} AS dev, {_SHARE("\\x00-\\x7f", "1.0")} AS asc_share FROM cv0 JOIN (SELECT entity_id, business_name FROM rec) USING (entity_id)),

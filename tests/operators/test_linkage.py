@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -318,6 +319,24 @@ def test_best_pairs_against_all_pairs(spark, monkeypatch):
     assert X.best_pairs(side(q), side(t).filter("false"), X.Best(3)).count() == 0
 
 
+def test_products_in_all_three_ways(monkeypatch):
+    """Dense, token by token and flat: all as the plain product of the matrices."""
+    r = np.random.default_rng(3)
+    a, b = (np.where(r.random((n, 60)) < r.random(60) ** 2, r.random((n, 60)), 0.0) for n in (50, 70))
+
+    def listed(m):
+        i, k = np.nonzero(m)
+        order = np.argsort(k, kind="stable")
+        return k[order] * 7, i[order], m[i, k][order]
+
+    for flat, dense, columns in ((64, 20_000, 512), (1, 2, 7), (64, 900, 5), (10**9, 10**9, 5)):
+        monkeypatch.setattr(X, "FLAT", flat)
+        monkeypatch.setattr(X, "DENSE", dense)
+        monkeypatch.setattr(X, "COLUMNS", columns)
+        monkeypatch.setattr(X, "CHUNK", max(flat, 1000))
+        assert np.allclose(X._products(*listed(a), *listed(b), (50, 70)), a @ b.T)
+
+
 def test_rule_score_by_hand(spark):
     """The flagship's score, all eleven terms, from the kernels of single pairs."""
     s1, t = (P.classic_view(spark.createDataFrame(x, REC)) for x in (S1, TG))
