@@ -2,42 +2,63 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import ctypes
+import gc
+from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text handed to Python at a time; texts can be very long.
-BATCH_ROWS = 1000
+from kinfold.sources.shared import scratch, shared_dir, stored  # noqa: F401  for the operators here
 
+#: Rows, and bytes of text, that are worked on at a time; one text can be longer.
+PIECE_ROWS, PIECE_BYTES = 1000, 8 << 20
+BATCH_BYTES = 8 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) is a local one made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "kinfold-checkpoints")
-    return found.rstrip("/")
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of few bytes: one bound for all operators, set once, and a session's own lower one stays."""
+    if int("".join(filter(str.isdigit, spark.conf.get(BATCH_CONF))) or 0) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
+def trim() -> None:
+    """Give a worker's free memory back to the system, where its C library can; workers live on after heavy tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def tidy(work):
+    """A worker's function that leaves no free memory behind."""
 
+    @wraps(work)
+    def run(batches):
+        yield from work(batches)
+        trim()
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage is cut, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kinfold/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return run
 
 
-def batches_of(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, since one row can be a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = PIECE_ROWS, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of at most so many rows and bytes of a text column; empty ones are left out."""
+    for batch in batches:
+        if batch.num_rows:
+            total = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at, before = 0, 0
+            while at < batch.num_rows:
+                end = min(max(at + 1, int(np.searchsorted(total, before + most, "right"))), at + rows, batch.num_rows)
+                yield batch.slice(at, end - at)
+                at, before = end, int(total[end - 1])
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -64,7 +85,7 @@ class WordIds(dict):
     changes no result.
     """
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         super().__init__()
         self.most, self._hash, self._chars = most, np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.llm._common import Table, batches_of, ragged, stored, texts_of
+from kinfold.llm._common import Table, bounded_batches, pieces, ragged, stored, texts_of, tidy
 
 #: The pre-tokenizer's pattern of byte-level BPE, as published with the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -329,8 +329,9 @@ def decode(vocabulary: Vocabulary, ids: list[int]) -> str:
 
 def word_counts(docs: DataFrame, text: str, vocabulary: str, flush: int = 300_000) -> DataFrame:
     """How often each pre-tokenised word occurs in the whole corpus; counted per task before the shuffle."""
-    batches_of(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, counts = Vocabulary.read(vocabulary).cut_words, {}
 
@@ -339,7 +340,7 @@ def word_counts(docs: DataFrame, text: str, vocabulary: str, flush: int = 300_00
             counts.clear()
             return rows
 
-        for batch in batches:
+        for batch in pieces(batches, text):
             for t in texts_of(batch, text):
                 for w in cut(t):
                     counts[w] = counts.get(w, 0) + 1
@@ -355,7 +356,8 @@ def build_lexicon(docs: DataFrame, text: str = "text", vocabulary: str | None =
     """Count all words of all documents, and compile the most frequent that occur more than once.
 
     At most ``words`` go to the driver: the cut lies between two tiers of counts, found from the tiers'
-    sizes alone.
+    sizes alone. Null texts have no words; an empty table gives an automaton without words, with which
+    all words are merged.
     """
     path = vocabulary or default_vocabulary()
     own = Vocabulary.read(path)
@@ -384,17 +386,17 @@ def _mapped(data: bytes) -> Transducer:
 def _each(docs: DataFrame, keep: list[str], schema, lexicon: bytes | None, vocabulary: str | None, make, text: str) -> DataFrame:
     """make(vocabulary, encoder, texts) gives the new columns' arrays for a batch."""
     spark: SparkSession = docs.sparkSession
-    batches_of(spark)
+    bounded_batches(spark)
     path = vocabulary or default_vocabulary()
     shipped = spark.sparkContext.broadcast(lexicon) if lexicon is not None else None
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Vocabulary.read(path)
         encoder = Encoder(own, _mapped(shipped.value) if shipped is not None else None)
-        for batch in batches:
-            if batch.num_rows:
-                arrays, names = make(own, encoder, texts_of(batch, text))
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + arrays, names=keep + names)
+        for batch in pieces(batches, text):
+            arrays, names = make(own, encoder, texts_of(batch, text))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + arrays, names=keep + names)
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(work, schema)
 
@@ -415,22 +417,31 @@ def bpe_encode(docs: DataFrame, text: str = "text", ids: str = "ids", vocabulary
 
 
 def bpe_decode(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: str | None = None) -> DataFrame:
-    """Append the text of an id column; null ids give an empty text."""
-    batches_of(df.sparkSession)
+    """Append the text of an id column; null and empty lists, and null items, give no text.
+
+    All other columns are kept, but one already called ``decoded`` is replaced; an empty table gives an
+    empty result.
+    """
+    bounded_batches(df.sparkSession)
     path = vocabulary or default_vocabulary()
     keep = [c for c in df.columns if c != text]
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Vocabulary.read(path)
         for batch in batches:
-            texts = [decode(own, x or []) for x in batch.column(ids).to_pylist()]
+            texts = [decode(own, [i for i in x or [] if i is not None]) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(texts, pa.string())], names=[*keep, text])
 
     return df.select(*keep).mapInArrow(work, df.select(*keep).schema.add(text, "string"))
 
 
 def bpe_digest(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: str | None = None, lexicon: bytes | None = None) -> DataFrame:
-    """Encode and decode every text in one pass; return counts and digests instead of the lists."""
+    """Encode and decode every text in one pass; return counts and digests instead of the lists.
+
+    A null text is an empty one, of no ids; repeated rows get repeated results, and other columns are not
+    looked at. An empty table gives an empty result.
+    """
 
     def make(own: Vocabulary, encoder: Encoder, texts: list[str]):
         values, sizes = encoder.encode(texts)
@@ -448,5 +459,6 @@ def bpe_digest(docs: DataFrame, id_column: str = "doc_id", text: str = "text", v
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``; odd rows as in ``bpe_digest``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return bpe_digest(docs, lexicon=build_lexicon(docs))

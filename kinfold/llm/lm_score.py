@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._common import Table, WordIds, batches_of, crc_remainder, grouped_words, raw, stored, texts_of
+from kinfold.llm._common import Table, WordIds, bounded_batches, crc_remainder, grouped_words, pieces, raw, stored, texts_of, tidy
 from kinfold.llm._ctw import Model, climb, deepest, descend, grams_of
 
 TOP = 2  # bytes of context by which the tree is dealt out
@@ -45,6 +45,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 def gram_counts(docs: DataFrame, text: str, tree: Tree) -> DataFrame:
     """(gram, n): all runs of context and byte in all texts, counted in each task before the shuffle."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -56,7 +57,7 @@ def gram_counts(docs: DataFrame, text: str, tree: Tree) -> DataFrame:
             return g[first], np.add.reduceat(n[order], first)
 
         size = 0
-        for batch in batches:
+        for batch in pieces(batches, text):
             g, _ = grams_of([raw(t) for t in texts_of(batch, text)], tree.depth)
             if len(g):
                 held.append(np.unique(g, return_counts=True))
@@ -90,7 +91,7 @@ def gram_logs(docs: DataFrame, train: DataFrame, text: str = "text", tree: Tree
     driver gets more of it than the subtrees dealt to it and the nodes above them.
     """
     spark = docs.sparkSession
-    batches_of(spark)
+    bounded_batches(spark)
     learnt = gram_counts(train, text, tree).select("gram", F.col("n").alias("c"), F.lit(0).cast("long").alias("n"))
     asked = gram_counts(docs, text, tree).select("gram", F.lit(0).cast("long").alias("c"), "n")
     grams = stored(learnt.unionByName(asked).groupBy("gram").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "grams")
@@ -99,6 +100,7 @@ def gram_logs(docs: DataFrame, train: DataFrame, text: str = "text", tree: Tree
     dealt = grams.repartition(parts, suffix)
     depth = tree.depth
 
+    @tidy
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, c, _ = _columns(batches)
         g, c = g[c > 0], c[c > 0]
@@ -107,7 +109,7 @@ def gram_logs(docs: DataFrame, train: DataFrame, text: str = "text", tree: Tree
             _, key, n, n1, _, _ = tiers[-1]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), bit, np.int32)), _signed(key), pa.array(n), pa.array(n1), pa.array(weighted)], names=["bit", "node", "n", "n1", "weighted"])
 
-    # Contexts of two bytes and what was decided: 2^24 nodes at most, whatever the corpus.
+    # Contexts of two bytes and what was decided: 2^24 nodes at most, whatever the corpus; some 10^6 in real text.
     found = dealt.mapInArrow(tops, "bit int, node long, n double, n1 double, weighted double").toArrow().to_pandas()
     passes, top_keys, top_p = {}, [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
     for bit, own in found.groupby("bit"):
@@ -122,6 +124,7 @@ def gram_logs(docs: DataFrame, train: DataFrame, text: str = "text", tree: Tree
         passes[int(bit)] = (key, passed[0][place], passed[1][place])
     shipped = spark.sparkContext.broadcast((passes, np.concatenate(top_keys), np.concatenate(top_p)))
 
+    @tidy
     def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, c, asked = _columns(batches)
         passes, *top = shipped.value
@@ -145,15 +148,16 @@ def gram_logs(docs: DataFrame, train: DataFrame, text: str = "text", tree: Tree
 
 def token_counts(docs: DataFrame, text: str = "text", flush: int = 500_000) -> DataFrame:
     """(word, n): a 64-bit hash of each lower-cased word, and of a text's end, and how often it occurs."""
-    batches_of(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n = WordIds(), np.zeros(0, np.int64)
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([_signed(known.hashes(np.arange(len(n)))), pa.array(n)], names=["word", "n"])
 
-        for batch in batches:
+        for batch in pieces(batches, text):
             words, _ = grouped_words(texts_of(batch, text), lower=True)
             ids = known.ids(words)
             end = known[END]
@@ -187,7 +191,8 @@ def score_texts(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", te
 
     ``train``: the documents to learn from, with the same text column. A null text is an empty one: its
     end alone is scored. Repeated rows are scored each on their own; without training texts every bit
-    has probability one half. Other columns are not looked at.
+    has probability one half. Other columns are not looked at, whatever their names; an empty table gives
+    an empty result.
     """
     spark = docs.sparkSession
     hot_grams, cold_grams = _top(gram_logs(docs, train, text, tree), tree.hot_grams)
@@ -198,15 +203,13 @@ def score_texts(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", te
     unsigned = lambda rows, column: rows[column].to_numpy().view(np.uint64)
     shipped = spark.sparkContext.broadcast((unsigned(hot_grams, "gram"), hot_grams["log"].to_numpy(), unsigned(hot_words, "word"), hot_words["n"].to_numpy(np.float64)))
     del hot_grams, hot_words
-    batches_of(spark, 400)
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, log_frequent, hot, log_hot = _tables(shipped)
         known, row = WordIds(), TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in pieces(batches, text, 400):
             n = batch.num_rows
-            if not n:
-                continue
             known.fresh()
             texts = texts_of(batch, text)
             grams, sizes = grams_of([raw(t) for t in texts], tree.depth)
@@ -268,6 +271,7 @@ def _tables(shipped) -> tuple[Table, np.ndarray, Table, np.ndarray]:
 
 
 def op3_lm_score(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``, learnt from those outside the held-out fold; odd rows as in ``score_texts``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = crc_remainder("doc_id", 7) == 2
     return score_texts(docs, docs.filter(~held)).withColumn("held_out", held).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
