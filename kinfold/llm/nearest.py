@@ -2,8 +2,12 @@
 
 Trees are fitted on a bounded sample of vectors: a node splits by the plane halfway between two of its
 vectors, down to leaves. Every vector is then put into its leaf of each tree. A query walks all trees
-through one priority queue, nearest planes first, and collects leaves until these hold enough vectors;
-the vectors in them are reranked by their exact cosine.
+through one priority queue and collects leaves until these hold enough vectors; the vectors in them are
+reranked by their exact cosine. The queue's order is how likely a leaf is to hold a near vector: a plane
+that the query lies far from leaves little chance to its other side, and the chances along a path multiply.
+
+Vectors are dealt over parts of bounded size, with their leaves; each query goes to every part with the
+leaves it visits, and a part returns its best few. So vectors are shuffled once, whatever the trees.
 """
 
 from __future__ import annotations
@@ -11,49 +15,59 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import erfc, log, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm._common import batches_of, stored
-
-CELL_ROWS = 4096  # vectors of a leaf that one group reranks
+from kinfold.llm._common import bounded_batches, stored, tidy
 
 
 @dataclass(frozen=True)
 class Forest:
-    """``sample`` bounds the vectors that splits are fitted on, the first by a hash of the id.
+    """``sample`` bounds the vectors that splits are fitted on, the first by a hash of the id, and
+    ``plane_bytes`` what all planes take, which every task gets; ``part_bytes`` bounds a part's vectors.
 
-    ``leaf`` is the size of a leaf aimed at, ``share`` and ``least`` how many vectors a query looks
-    at: that share of all, but at least so many (an exact search of small tables).
+    ``leaf`` is the size of a leaf aimed at. A query visits leaves that hold ``budget`` times the square
+    root of the number of vectors together, at every size of table; ``near`` is the cosine of a vector
+    that is worth finding, by which chances are reckoned.
     """
 
-    trees: int = 8
-    leaf: int = 256
+    trees: int = 32
+    leaf: int = 32
+    budget: float = 42.0
+    near: float = 0.5
     sample: int = 40_000
-    share: float = 0.12
-    least: int = 4000
+    plane_bytes: int = 64 << 20
+    part_bytes: int = 64 << 20
     seed: int = 3
 
+    def sampled(self, dims: int) -> int:
+        """How many vectors to fit on: a tree of as many leaves as vectors has a plane for each."""
+        return max(self.leaf, min(self.sample, self.plane_bytes * self.leaf // (4 * max(1, dims) * self.trees)))
+
 
 @dataclass
 class Trees:
-    """Nodes of all trees: a plane (normal, offset) and two children; a negative child -1 - k is leaf k."""
+    """Nodes of all trees: a plane (normal, offset), its vectors' mean and spread across it, and two children; a negative child -1 - k is leaf k."""
 
     normal: np.ndarray
     offset: np.ndarray
+    mean: np.ndarray
+    spread: np.ndarray
     child: np.ndarray
     roots: list[int]
     leaf_share: np.ndarray  # of the sample that lies in each leaf
 
     @classmethod
     def fit(cls, sample: np.ndarray, rows: int, spec: Forest) -> Trees:
-        """``sample``: unit vectors. Leaves get ``spec.leaf`` of ``rows``, as far as the sample can tell."""
+        """``sample``: unit vectors. Leaves get ``spec.leaf`` of ``rows``, as far as the sample can tell: one of its vectors at least."""
         r = np.random.default_rng(spec.seed)
+        sample = sample.astype(np.float32)
         small = max(1, round(spec.leaf * len(sample) / max(1, rows)))
-        normals, offsets, children, share = [], [], [], []
+        planes, children, share = [], [], []
 
         def leaf(own: np.ndarray) -> int:
             share.append(len(own) / max(1, len(sample)))
@@ -66,9 +80,9 @@ class Trees:
                 a, b = sample[own[r.integers(0, len(own), 2)]]
                 n = a - b
                 size = float(np.sqrt(n @ n))
-                if size < 1e-9:
+                if size < 1e-6:
                     continue
-                n = n / size
+                n = n / np.float32(size)
                 side = sample[own] @ n
                 at = float(np.median(side))
                 up = side > at
@@ -76,19 +90,22 @@ class Trees:
                     break
             else:
                 return leaf(own)  # (nearly) the same vector throughout
-            k = len(normals)
-            normals.append(n), offsets.append(at), children.append([0, 0])
+            k = len(planes)
+            planes.append((n, at, float(side.mean()), float(side.std())))
+            children.append([0, 0])
             children[k][0] = grow(own[~up])
             children[k][1] = grow(own[up])
             return k
 
         roots = [grow(np.arange(len(sample))) for _ in range(spec.trees)]
         dims = sample.shape[1] if sample.ndim == 2 else 0
-        return cls(np.array(normals).reshape(len(normals), dims), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), roots, np.array(share))
+        column = lambda i: np.array([p[i] for p in planes], np.float32)
+        return cls(column(0).reshape(len(planes), dims), column(1), column(2), column(3), np.array(children, np.int64).reshape(-1, 2), roots, np.array(share))
 
     def leaves(self, unit: np.ndarray) -> np.ndarray:
         """For each vector its leaf of each tree."""
-        out = np.zeros((len(unit), len(self.roots)), np.int64)
+        unit = unit.astype(np.float32)
+        out = np.zeros((len(unit), len(self.roots)), np.int32)
         for t, root in enumerate(self.roots):
             node = np.full(len(unit), root)
             live = np.flatnonzero(node >= 0)
@@ -100,30 +117,55 @@ class Trees:
             out[:, t] = -1 - node
         return out
 
-    def search(self, unit: np.ndarray, enough: float) -> list[list[int]]:
-        """For each query the leaves it visits: in all trees at once, by the least distance beyond a plane."""
-        margins = unit @ self.normal.T - self.offset if len(self.normal) else np.zeros((len(unit), 0))
-        child, share = self.child.tolist(), self.leaf_share.tolist()
+    def search(self, unit: np.ndarray, enough: float, near: float = 0.5) -> list[np.ndarray]:
+        """For each query the leaves it visits, the likeliest first in all trees at once, until they hold ``enough`` samples' shares."""
+        offset, mean, child, share = self.offset.tolist(), self.mean.tolist(), self.child.tolist(), self.leaf_share.tolist()
+        scale = [1 / max(s * sqrt(2 * (1 - near * near)), 1e-6) for s in self.spread.tolist()]
         out = []
-        for row in margins:
-            m = row.tolist()
+        for q in unit.astype(np.float32):
             queue = [(0.0, root) for root in self.roots]
             heapq.heapify(queue)
             found: list[int] = []
             total = 0.0
             while queue and total < enough:
-                far, node = heapq.heappop(queue)
-                while node >= 0:
-                    low, high = child[node]
-                    near, other = (high, low) if m[node] > 0 else (low, high)
-                    heapq.heappush(queue, (max(far, abs(m[node])), other))
-                    node = near
-                found.append(-1 - node)
-                total += share[-1 - node]
-            out.append(found)
+                cost, node = heapq.heappop(queue)
+                if node < 0:
+                    found.append(-1 - node)
+                    total += share[-1 - node]
+                    continue
+                # where a near vector lies across the plane: about its mean, drawn towards the query
+                z = (mean[node] + near * (float(self.normal[node] @ q) - mean[node]) - offset[node]) * scale[node]
+                heapq.heappush(queue, (cost - log(max(0.5 * erfc(z), 1e-12)), child[node][0]))
+                heapq.heappush(queue, (cost - log(max(0.5 * erfc(-z), 1e-12)), child[node][1]))
+            out.append(np.array(found, np.int32))
         return out
 
 
+class Part:
+    """A part's vectors and which of them each leaf holds."""
+
+    def __init__(self, ids: np.ndarray, v: np.ndarray, cells: np.ndarray) -> None:
+        self.ids, self.v = ids, v
+        order = np.argsort(cells, axis=None, kind="stable")
+        self.rows = (order // max(1, cells.shape[1])).astype(np.int32)
+        self.cells, self.starts = np.unique(cells.reshape(-1)[order], return_index=True)
+        self.ends = np.r_[self.starts[1:], len(order)]
+
+    def best(self, query: int, q: np.ndarray, visited: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest of the vectors in the leaves visited, but for the query itself."""
+        at = np.searchsorted(self.cells, visited)
+        at[at == len(self.cells)] = 0
+        at = at[self.cells[at] == visited]
+        rows = np.unique(np.concatenate([self.rows[s:e] for s, e in zip(self.starts[at], self.ends[at])])) if len(at) else np.zeros(0, np.int32)
+        rows = rows[self.ids[rows] != query]
+        score, ids = cosines(q, self.v[rows]), self.ids[rows]
+        if len(rows) > 4 * k:
+            few = score >= np.partition(score, -k)[-k]
+            score, ids = score[few], ids[few]
+        order = np.lexsort((ids, -score))[:k]
+        return ids[order], score[order]
+
+
 def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
     """(id, v): rows with an id and a finite vector that is not zero, as doubles."""
     v = F.col(vector).cast("array<double>")
@@ -132,10 +174,10 @@ def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
     return vectors.filter(F.coalesce(fine, F.lit(False))).select(F.col(id_column).cast("long").alias("id"), v.alias("v"))
 
 
-def matrix(column) -> np.ndarray:
+def matrix(column, kind=np.float64) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), len(flat) // max(1, len(column))).astype(np.float64)
+    return flat.reshape(len(column), len(flat) // max(1, len(column))).astype(kind)
 
 
 def unit_of(v: np.ndarray) -> np.ndarray:
@@ -160,88 +202,72 @@ def nearest(vectors: DataFrame, queries, k: int = 5, id_column: str = "vec_id",
     query's k nearest, so no more are kept.
     """
     spark = vectors.sparkSession
-    batches_of(spark, 5000)
+    bounded_batches(spark)
     rows = usable(vectors, id_column, vector)
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     dims = sizes[0].d if sizes else 0
     rows = rows.filter(F.size("v") == dims)
     same = Window.partitionBy(F.xxhash64("v"), "v").orderBy("id")
-    kept = stored(rows.distinct().withColumn("__n", F.row_number().over(same)).filter(F.col("__n") <= k + 1).drop("__n"), "vectors")
+    kept = stored(rows.distinct().withColumn("__n", F.row_number().over(same)).filter(F.col("__n") <= k + 1).drop("__n"), "vectors", lasting=True)
     total = kept.count()
-    sample = kept.orderBy(F.xxhash64("id", F.lit(spec.seed)), "id").limit(spec.sample).toArrow()
+    sample = kept.orderBy(F.xxhash64("id", F.lit(spec.seed)), "id").limit(spec.sampled(dims)).toArrow()
     trees = Trees.fit(unit_of(matrix(sample.column("v"))) if total else np.zeros((0, 0)), total, spec)
-    enough = spec.trees * max(spec.share, min(1.0, spec.least / max(1, total)))
+    enough = spec.budget / sqrt(max(1, total))
+    # Neither number changes a result: parts of bounded size, a few at least, and searches over more tasks than the rows take.
+    parts = max(-(-total * dims * 8 // spec.part_bytes), min(16, total // 4096 + 1))
     shipped = spark.sparkContext.broadcast(trees)
-    asked = rows.filter(queries(F.col("id"))).distinct()
+    asked = rows.filter(queries(F.col("id"))).distinct().repartition(max(8, total // 4096), "id")
 
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                cells = shipped.value.leaves(unit_of(matrix(b.column("v"))))
-                for t in range(cells.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(cells[:, t]), b.column("id"), b.column("v")], names=["cell", "id", "v"])
+    def with_cells(find):
+        @tidy
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    cells = find(shipped.value, unit_of(matrix(b.column("v"))))
+                    ends = np.r_[0, np.cumsum([len(c) for c in cells])]
+                    yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(cells), pa.int32()))], names=["id", "v", "cells"])
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                found = shipped.value.search(unit_of(matrix(b.column("v"))), enough)
-                at = np.repeat(np.arange(b.num_rows), [len(f) for f in found])
-                cells = np.array([c for f in found for c in f], np.int64)
-                for s in range(0, len(at), 20_000):
-                    own = pa.array(at[s : s + 20_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(cells[s : s + 20_000]), b.column("id").take(own), b.column("v").take(own)], names=["cell", "id", "v"])
-
-    schema = "cell long, id long, v array<double>"
-    filled = kept.mapInArrow(put, schema)
-    blocks = filled.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("blocks"))
-    members = filled.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("side"), "id", "v")
-    visits = asked.mapInArrow(visit, schema).join(blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "id", "v")
-    dealt = visits.unionByName(members).repartition("cell", "block").sortWithinPartitions("cell", "block", "side", "id")
+        return work
 
-    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups come in order: first a cell's queries, then its vectors, which are compared as they come."""
-        group, ids, qs = None, np.zeros(0, np.int64), np.zeros((0, dims))
-        best: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def result() -> pa.RecordBatch | None:
-            q, i, s = [], [], []
-            for qid, own in zip(ids.tolist(), best):
-                q += [qid] * len(own[0])
-                i.append(own[0]), s.append(own[1])
-            if not q:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.concatenate(i), pa.int64()), pa.array(np.concatenate(s), pa.float64())], names=["query_id", "id", "score"])
+    schema = "id long, v array<double>, cells array<int>"
+    members = kept.mapInArrow(with_cells(lambda t, u: list(t.leaves(u))), schema).select(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("side"), "id", "v", "cells")
+    visits = asked.mapInArrow(with_cells(lambda t, u: t.search(u, enough, spec.near)), schema).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("side"), "id", "v", "cells")
+    dealt = members.unionByName(visits).repartition(parts, "part").sortWithinPartitions("part", "side", "id")
 
+    @tidy
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts come in order: first a part's vectors, then the queries."""
+        at, own, held = None, None, []
         for b in batches:
-            cell, block, side, own = (b.column(c).to_numpy() for c in ("cell", "block", "side", "id"))
-            v = matrix(b.column("v")) if b.num_rows else np.zeros((0, dims))
-            cut = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (block[1:] != block[:-1]) | (side[1:] != side[:-1])]) if b.num_rows else []
-            for s, e in zip(cut, [*cut[1:], b.num_rows]):
-                if group != (cell[s], block[s]):
-                    if len(ids) and (out := result()) is not None:
-                        yield out
-                    group, ids, qs, best = (cell[s], block[s]), np.zeros(0, np.int64), np.zeros((0, dims)), []
+            part, side, ids = (b.column(c).to_numpy() for c in ("part", "side", "id"))
+            if not b.num_rows:
+                continue
+            cut = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (side[1:] != side[:-1])])
+            out: list[tuple[int, np.ndarray, np.ndarray]] = []
+            for s, e in zip(cut.tolist(), [*cut[1:].tolist(), b.num_rows]):
+                if at != part[s]:
+                    at, own, held = part[s], None, []
+                run = b.slice(s, e - s)
                 if side[s] == 0:
-                    ids, qs = np.concatenate([ids, own[s:e]]), np.concatenate([qs, v[s:e]])
-                    best += [(np.zeros(0, np.int64), np.zeros(0))] * (e - s)
-                elif len(ids):
-                    rough = unit_of(qs) @ unit_of(v[s:e]).T
-                    rough[ids[:, None] == own[s:e][None, :]] = -2
-                    for r in range(len(ids)):
-                        row = rough[r]
-                        least = np.partition(row, -k)[-k] if len(row) > k else -1.5
-                        pick = np.flatnonzero((row >= least - 1e-9) & (row > -1.9))
-                        i, c = np.concatenate([best[r][0], own[s:e][pick]]), np.concatenate([best[r][1], cosines(qs[r], v[s:e][pick])])
-                        order = np.lexsort((i, -c))[:k]
-                        best[r] = (i[order], c[order])
-        if len(ids) and (out := result()) is not None:
-            yield out
-
-    found = dealt.mapInArrow(rerank, "query_id long, id long, score double").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+                    held.append((ids[s:e], matrix(run.column("v")), matrix(run.column("cells"), np.int32)))
+                    continue
+                if own is None and held:
+                    own, held = Part(*(np.concatenate(x) for x in zip(*held))), []
+                if own is not None:
+                    visited, ends = run.column("cells").flatten().to_numpy(), np.cumsum(run.column("cells").value_lengths().to_numpy())
+                    for query, q, a, z in zip(ids[s:e].tolist(), matrix(run.column("v")), [0, *ends.tolist()], ends.tolist()):
+                        out.append((query, *own.best(query, q, visited[a:z], k)))
+            if out:
+                q = np.repeat([x[0] for x in out], [len(x[1]) for x in out])
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(np.concatenate([x[1] for x in out]), pa.int64()), pa.array(np.concatenate([x[2] for x in out]), pa.float64())], names=["query_id", "id", "score"])
+
+    found = dealt.mapInArrow(rerank, "query_id long, id long, score double")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "score")
+    ranked = found.groupBy("query_id", "id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(by))
+    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "score")
 
 
 def op4_nearest(spark, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector against all others; odd vectors as in ``nearest``."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return nearest(vectors, lambda i: i % 50 == 0)

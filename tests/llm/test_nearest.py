@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from kinfold.llm.nearest import Forest, Trees, nearest, op4_nearest, unit_of
+from kinfold.llm.nearest import Forest, Part, Trees, nearest, op4_nearest, unit_of
 
 
 def brute(rows, k, is_query):
@@ -22,19 +22,40 @@ def as_lists(df):
     return out
 
 
-def test_recall_and_scores(spark):
+def test_queries_on_the_tables(spark):
+    """Recall against brute force with the registered settings, and scores that are exactly the measure."""
     d = "/root/testdata/sf0.1"
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()]
-    want = brute(rows, 5, lambda i: i % 50 == 0)
-    df = spark.read.parquet(f"{d}/embeddings.parquet")
-    got = as_lists(nearest(df, lambda i: i % 50 == 0, spec=Forest(leaf=64, least=600)))
-    assert got.keys() == want.keys()
-    hits = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 5 for q in want]
-    assert np.mean(hits) >= 0.9
-    exact = as_lists(op4_nearest(spark, d))
-    for q, w in want.items():
-        assert [i for i, _ in exact[q]] == [i for i, _ in w]
-        assert np.allclose([c for _, c in exact[q]], [c for _, c in w], atol=1e-12)
+    want, got = brute(rows, 5, lambda i: i % 50 == 0), as_lists(op4_nearest(spark, d))
+    assert got.keys() == want.keys() and all(len(x) == 5 for x in got.values())
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.95
+    v = dict(rows)
+    for q, own in got.items():
+        for i, c in own:
+            a, b = np.array(v[q], float), np.array(v[i], float)
+            assert abs(c - (a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum())) < 1e-12
+
+
+def test_recall_and_work_at_fifty_thousand(spark):
+    """Random directions, the hardest table: with the registered settings recall 0.9 from fewer than a fifth of all vectors."""
+    u = unit_of(np.random.default_rng(7).standard_normal((50_000, 64)))
+    spec, queries = Forest(), np.arange(0, 50_000, 500)
+    trees = Trees.fit(u[np.random.default_rng(8).permutation(len(u))[: spec.sampled(64)]], len(u), spec)
+    leaves, visits = trees.leaves(u), trees.search(u[queries], spec.budget / np.sqrt(len(u)), spec.near)
+    part, hits, seen = Part(np.arange(len(u)), u, leaves), [], []
+    for q, visited in zip(queries, visits):
+        exact = u @ u[q]
+        exact[q] = -2
+        own, _ = part.best(q, u[q], visited, 5)
+        hits.append(len(set(own) & set(np.argsort(-exact)[:5])) / 5)
+        seen.append(np.isin(leaves, visited).any(1).mean())
+    assert np.mean(hits) >= 0.9 and np.mean(seen) < 0.2
+
+
+def test_parts_change_no_result(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    whole = as_lists(nearest(df, lambda i: i % 50 == 0))
+    assert as_lists(nearest(df, lambda i: i % 50 == 0, spec=Forest(part_bytes=20_000))) == whole
 
 
 def test_odd_rows_copies_and_ties(spark):
@@ -60,6 +81,6 @@ def test_every_vector_has_a_leaf_and_search_covers_all():
     t = Trees.fit(u[:200], 500, Forest(trees=3, leaf=20))
     leaves = t.leaves(u)
     assert leaves.min() >= 0 and leaves.max() < len(t.leaf_share)
-    assert all(len(set(x)) == len(t.leaf_share) for x in t.search(u[:5], 99.0))
-    for q, own in zip(u[:20], leaves[:20]):
-        assert set(own) <= set(t.search(q[None], 3 * 0.5)[0])
+    assert all(len(set(x.tolist())) == len(t.leaf_share) for x in t.search(u[:5], 99.0))
+    first = [set(x.tolist()[:3]) & set(own.tolist()) for x, own in zip(t.search(u[:50], 99.0), leaves[:50])]
+    assert np.mean([len(x) > 0 for x in first]) > 0.9  # a query's own leaves come early
