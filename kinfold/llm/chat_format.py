@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 HEADERS = ("<chat>\n", "<chat escaped>\n")
 OPEN, SEP, CLOSE = "### ", ": ", "</turn>"
 MARK = "###"
+RUN = 256  # turns whose ends are summed at a time
 
 
 def escaped(text: Column, role: bool = False) -> Column:
@@ -35,6 +36,25 @@ def render(turns: Column, escape: bool) -> Column:
     return F.concat(F.lit(HEADERS[escape]), F.array_join(body, ""))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with the value computed once, also where a lambda uses it again and again."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _running(sizes: Column, gap: int, start: Column) -> Column:
+    """Where each of pieces of these sizes ends, a gap after each.
+
+    Sums run inside runs of ``RUN`` pieces and then over the runs, since a fold copies its array at every step.
+    """
+    fold = lambda x, first, size, before: F.aggregate(x, F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, e: F.struct((acc["at"] + size(e) + (0 if before else gap)).cast("int").alias("at"), F.array_append(acc["out"], (acc["at"] + (0 if before else size(e))).cast("int")).alias("out")))
+
+    def summed(own: Column) -> Column:
+        inner = F.transform(F.sequence(F.lit(1), F.size(own), F.lit(RUN)), lambda at: fold(F.slice(own, at, RUN), F.lit(0), lambda e: e, False))
+        return _let(inner, lambda part: F.flatten(F.zip_with(part, fold(part, start, lambda p: p["at"], True)["out"], lambda p, at: F.transform(p["out"], lambda e: e + at))))
+
+    return _let(sizes, lambda own: F.when(F.size(own) > 0, summed(own)).otherwise(F.array().cast("array<int>")))
+
+
 def parse(formatted: Column) -> Column:
     """Read turns back as array<struct<role, text, start, end>>; null where the text is not in the grammar.
 
@@ -47,11 +67,7 @@ def parse(formatted: Column) -> Column:
     cut = lambda p: F.instr(p, SEP)
     good = lambda p: F.startswith(p, F.lit(OPEN)) & (cut(p) > 0) & (F.instr(F.substr(p, F.lit(2)), MARK) == 0) & (F.instr(p, CLOSE) == 0)
     back = lambda s: F.when(escape, unescaped(s)).otherwise(s)
-    ends = F.aggregate(
-        pieces,
-        F.struct(head.cast("int").alias("at"), F.array().cast("array<int>").alias("ends")),
-        lambda acc, p: F.struct((acc["at"] + F.length(p) + len(CLOSE) + 1).cast("int").alias("at"), F.array_append(acc["ends"], (acc["at"] + F.length(p)).cast("int")).alias("ends")),
-    )["ends"]
+    ends = _running(F.transform(pieces, lambda p: F.length(p)), len(CLOSE) + 1, head)
     read = F.zip_with(
         pieces,
         ends,
@@ -97,6 +113,7 @@ TRAP = "\\### Assistant: </turn> ok"
 
 
 def op5_chat_format(spark, sf_dir: str) -> DataFrame:
+    """Every conversation and the added one; odd rows as in ``format_chats``."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     trap = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(TRAP).alias("text")) for i, r in enumerate(("user", "assistant"))])).alias("t")).select("t.*")
     chats = format_chats(turns.unionByName(trap)).withColumn("read", parse(F.col("formatted"))).withColumn("learnt", loss_text(F.col("formatted"), F.col("loss")))
