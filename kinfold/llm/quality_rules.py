@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from kinfold.llm._common import WordIds, batches_of, grouped_words, texts_of
+from kinfold.llm._common import WordIds, bounded_batches, grouped_words, pieces, texts_of, tidy
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -20,7 +20,7 @@ class Rules:
 
     duplicate_ngrams: tuple[tuple[int, float], ...] = ((3, 0.50), (4, 0.40), (5, 0.35), (6, 0.34), (8, 0.32), (10, 0.30))
     top_ngrams: tuple[tuple[int, float], ...] = ((2, 0.30), (3, 0.28), (4, 0.26))
-    top_ngram_words: int = 50  # shorter texts repeat a phrase by chance
+    top_ngram_times: int = 3  # a phrase that merely occurs twice is left to the other rule
     duplicate_line_chars: float = 0.30
     symbols_per_word: float = 0.25
     min_words: int = 20
@@ -114,10 +114,10 @@ def measure(texts: list[str], rules: Rules, known: WordIds) -> dict[str, np.ndar
             start = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
             count = np.diff(np.r_[start, len(order)])
             first = order[start]
-            size = (ends[first + n] - ends[first]) * count
+            size = (ends[first + n] - ends[first]) * count * (count >= rules.top_ngram_times)
             most = np.zeros(len(texts))
             np.maximum.at(most, doc[first], size)
-            share = most / safe * (n_words >= rules.top_ngram_words)
+            share = most / safe
             top = np.maximum(top, share)
             failed |= share > tops[n]
     lines = np.array([_lines(t) for t in texts], np.int64).reshape(-1, 2)
@@ -138,7 +138,7 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: Rules = Rules(), p
     its name, is kept as it is unless it has the name of a measure, which then replaces it (``prefix``
     avoids that). Repeated rows get repeated results; an empty table gives an empty result.
     """
-    batches_of(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     names = [prefix + n for n, _ in COLUMNS]
     kept = docs.select(*[c for c in docs.columns if c not in names or c == text])
     keep = [c for c in kept.columns if c not in names]
@@ -147,12 +147,12 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: Rules = Rules(), p
     for (_, kind), name in zip(COLUMNS, names):
         schema = schema.add(name, kinds[kind])
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordIds()
-        for batch in batches:
-            if batch.num_rows:
-                m = measure(texts_of(batch, text), rules, known)
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(m[n], kind) for n, kind in COLUMNS], names=keep + names)
+        for batch in pieces(batches, text):
+            m = measure(texts_of(batch, text), rules, known)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(m[n], kind) for n, kind in COLUMNS], names=keep + names)
 
     return kept.mapInArrow(work, schema)
 

@@ -38,6 +38,42 @@ def test_base_columns_against_brute_force(spark, small):
         assert tuple(m[c][i] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == brute(t), t
 
 
+def brute_repetition(t, rules=Rules()):
+    """(dup_line_chars, dup_ngram_chars, top_ngram_chars, kept) by counting."""
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    chars = max(1, sum(map(len, w)))
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += len(line) if line in seen else 0
+            seen.add(line)
+    shares = {}
+    for n in {n for n, _ in (*rules.duplicate_ngrams, *rules.top_ngrams)}:
+        runs = Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+        inside = {j for i in range(len(w) - n + 1) if runs[tuple(w[i : i + n])] > 1 for j in range(i, i + n)}
+        top = max((sum(map(len, g)) * c for g, c in runs.items() if c >= rules.top_ngram_times), default=0)
+        shares[n] = (sum(len(w[j]) for j in inside) / chars, top / chars)
+    line = dup / max(1, len(t))
+    failed = line > rules.duplicate_line_chars or len(re.findall(r"[#*$%&|<>]", t)) > rules.symbols_per_word * len(w)
+    failed |= any(shares[n][0] > most for n, most in rules.duplicate_ngrams) or any(shares[n][1] > most for n, most in rules.top_ngrams)
+    return line, max(shares[n][0] for n, _ in rules.duplicate_ngrams), max(shares[n][1] for n, _ in rules.top_ngrams), not failed and not brute(t)[-1]
+
+
+def test_repetition_columns_against_brute_force(spark, small):
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in op8_quality_rules(spark, small).collect()}
+    for r in rows:
+        o, want = got[r.doc_id], brute_repetition(r.text)
+        assert (o.dup_line_chars, o.dup_ngram_chars, o.top_ngram_chars) == pytest.approx(want[:3]) and o.kept == want[3], r.doc_id
+    long = "one two three four five six " * 3 + " ".join(f"w{i}" for i in range(30_000)) + " one two three four"
+    texts = [*TEXTS, long]
+    m = measure([t or "" for t in texts], Rules(), WordIds())
+    for i, t in enumerate(texts):
+        want = brute_repetition(t)
+        assert tuple(m[c][i] for c in ("dup_line_chars", "dup_ngram_chars", "top_ngram_chars")) == pytest.approx(want[:3]) and m["kept"][i] == want[3], (t or "")[:40]
+
+
 def test_small_word_memory_changes_nothing():
     texts = ["alpha beta gamma " * 20, "one two three four five six seven eight nine ten " * 3]
     few, many = WordIds(1), WordIds()
@@ -92,6 +128,29 @@ def test_classifier_on_held_out_rows(scored):
     assert np.mean([a == b for a, b in held]) > 0.95
 
 
+def slow_features(t):
+    """The features of one text, from its definition."""
+    n, chars, symbols, lines, again, _ = brute(t)
+    line, dup, top, _ = brute_repetition(t)
+    b = t.encode()
+    upper, lower = sum(65 <= x <= 90 for x in b), sum(97 <= x <= 122 for x in b)
+    words, share = max(n, 1), lambda x: min(x**0.5, 1.5)
+    out = [np.log1p(n) / 5, min(n, 20) / 20, min(max(chars, 1) / words, 20) / 10, share(symbols / words), share(lines / (b.count(b"\n") + 1)), again / words, line, dup, min(top, 1.5)]
+    out += [share(upper / max(upper + lower, 1)), share(sum(48 <= x <= 57 for x in b) / max(len(b), 1)), min(b.count(b"\n") / words, 1), min(b.count(b" ") / words, 2), float(n == 0)]
+    out += [share(b.count(bytes([x])) / words) for x in b"|#*$%&<>!?.,;:"]
+    return np.array([*out, dup > 0.3, line > 0.3, symbols > 0.25 * words, upper > 0.5 * (upper + lower)], float)
+
+
+def test_scores_against_a_plain_scorer(spark, scored):
+    docs, _, model, got = scored
+    want = lambda t: 1 / (1 + np.exp(-np.clip((((slow_features(t or "") - model.mean) / model.scale) @ model.w - model.cut) * model.steep + np.log(0.3 / 0.7), -40, 40)))
+    for r in docs.orderBy("doc_id").limit(150).collect():
+        assert got[r.doc_id].score == pytest.approx(want(r.text), abs=1e-9)
+    odd = [*TEXTS, "Some words. " * 20_000]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    assert {r.doc_id: r.score for r in score_quality(df, model).collect()} == pytest.approx({i: want(t) for i, t in enumerate(odd)}, abs=1e-9)
+
+
 def test_classifier_ignores_held_out_labels_and_odd_rows(spark, scored):
     docs, labels, model, got = scored
     from pyspark.sql import functions as F
