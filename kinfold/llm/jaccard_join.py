@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._common import WordIds, batches_of, grouped_words, mix, stored, texts_of
+from kinfold.llm._common import WordIds, bounded_batches, grouped_words, mix, pieces, scratch, stored, texts_of, tidy
 
 U = np.uint64
 BITS = 1024
 BASE = U(0x9E3779B97F4A7C15)
 BLOCK = 1024  # members of a tile that one group compares
 SENT_ROWS = 500_000  # rows of one or two numbers that are sent to all tasks at most; more are joined by a shuffle
+PIECE = 256  # texts whose sets are made at a time
+SALTS = 16  # tasks over which one set's documents are dealt, where sets are too many to be sent
 FAITH = 6  # how often hash space is cut anew for a set that leaves parts empty
 
 
@@ -88,8 +90,25 @@ def shingles(texts: list[str], n: int, known: WordIds) -> list[np.ndarray]:
     return out
 
 
-def signature(own: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((own & U(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+def signature(own: np.ndarray, bits: int = BITS) -> bytes:
+    return np.packbits((np.bincount((own & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def wide_signature(own: np.ndarray) -> bytes:
+    """As many bits as a large set has elements, so that its bound still tells; empty where ``BITS`` will do."""
+    return signature(own, 1 << (len(own) - 1).bit_length()) if len(own) > BITS else b""
+
+
+def folded(wide: np.ndarray, words: int) -> np.ndarray:
+    """A signature's 64-bit words as those of a shorter one: parities of the bits that fall together."""
+    return np.bitwise_xor.reduce(wide.reshape(-1, words), axis=0)
+
+
+def wide_differ(x: bytes, y: bytes) -> int:
+    """In how many bits two wide signatures differ, at the shorter one's length."""
+    a, b = np.frombuffer(x, U), np.frombuffer(y, U)
+    words = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
 
 
 def _parts(own: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,29 +158,30 @@ def _sum(x: np.ndarray, salt: int) -> int:
 
 
 def signatures(docs: DataFrame, rule: Threshold) -> DataFrame:
-    """Per row (id, text): id, set size, two hashes of the set, and the bitmap."""
+    """Per row (id, text): id, set size, two hashes of the set, the bitmap, and a large set's wide bitmap."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordIds()
-        for batch in batches:
-            if batch.num_rows:
-                sets = shingles(texts_of(batch), rule.words, known)
-                hashes = [pa.array([_sum(s, salt) for s in sets], pa.int64()) for salt in (1, 0x5851F42D4C957F2D)]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), *hashes, pa.array([signature(s) for s in sets], pa.binary())], names=["id", "n", "set1", "set2", "bits"])
+        for batch in pieces(batches, rows=PIECE):
+            sets = shingles(texts_of(batch), rule.words, known)
+            hashes = [pa.array([_sum(s, salt) for s in sets], pa.int64()) for salt in (1, 0x5851F42D4C957F2D)]
+            bitmaps = [pa.array([f(s) for s in sets], pa.binary()) for f in (signature, wide_signature)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), *hashes, *bitmaps], names=["id", "n", "set1", "set2", "bits", "wide"])
 
-    return docs.select("id", "text").mapInArrow(work, "id long, n long, set1 long, set2 long, bits binary")
+    return docs.select("id", "text").mapInArrow(work, "id long, n long, set1 long, set2 long, bits binary, wide binary")
 
 
 def tile_rows(docs: DataFrame, rule: Threshold) -> DataFrame:
     """(tile, id): the tiles of every document."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bands = WordIds(), rule.bands()
-        for batch in batches:
-            if batch.num_rows:
-                keys = [tile_keys(s, rule, bands) for s in shingles(texts_of(batch), rule.words, known)]
-                ids = np.repeat(batch.column("id").to_numpy(), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids)], names=["tile", "id"])
+        for batch in pieces(batches, rows=PIECE):
+            keys = [tile_keys(s, rule, bands) for s in shingles(texts_of(batch), rule.words, known)]
+            ids = np.repeat(batch.column("id").to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids)], names=["tile", "id"])
 
     return docs.select("id", "text").mapInArrow(work, "tile long, id long")
 
@@ -171,10 +191,12 @@ def _bits(column) -> np.ndarray:
 
 
 def _bounded(pairs: DataFrame, light: DataFrame, rule: Threshold) -> DataFrame:
-    """Pairs (a, b) whose signatures allow a link; ``same``: the sets are equal."""
+    """Pairs (a, b), stored, whose signatures allow a link; ``same``: the sets are equal."""
+    light = _only(light, stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids"))
     one = light.select(*[F.col(c).alias(f"{c}_a") for c in light.columns]).withColumnRenamed("id_a", "a")
     two = light.select(*[F.col(c).alias(f"{c}_b") for c in light.columns]).withColumnRenamed("id_b", "b")
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -184,6 +206,8 @@ def _bounded(pairs: DataFrame, light: DataFrame, rule: Threshold) -> DataFrame:
             same = (n == m) & (get("set1_a") == get("set1_b")) & (get("set2_a") == get("set2_b"))
             off = np.bitwise_count(_bits(batch.column("bits_a")) ^ _bits(batch.column("bits_b"))).sum(axis=1, dtype=np.int64)
             ok = same | ((off <= rule.differ(n, m)) & (100 * np.minimum(n, m) >= rule.percent * np.maximum(n, m)))
+            for k in np.flatnonzero(ok & ~same & (np.minimum(n, m) > BITS)).tolist():
+                ok[k] = wide_differ(batch.column("wide_a")[k].as_py(), batch.column("wide_b")[k].as_py()) <= rule.differ(int(n[k]), int(m[k]))
             yield pa.RecordBatch.from_arrays([pa.array(get("a")[ok]), pa.array(get("b")[ok]), pa.array(same[ok])], names=["a", "b", "same"])
 
     return pairs.join(one, "a").join(two, "b").mapInArrow(work, "a long, b long, same boolean")
@@ -202,38 +226,55 @@ def _only(df: DataFrame, ids: DataFrame) -> DataFrame:
 def sets_of(docs: DataFrame, ids: DataFrame, rule: Threshold) -> DataFrame:
     """(id, own): the sorted n-gram hashes of the documents in question, from their texts, read again."""
 
+    @tidy
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordIds()
-        for batch in batches:
-            if batch.num_rows:
-                sets = shingles(texts_of(batch), rule.words, known)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "own"])
+        for batch in pieces(batches, rows=PIECE):
+            sets = shingles(texts_of(batch), rule.words, known)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "own"])
 
     return _only(docs.select("id", "text"), ids).mapInArrow(arrays, "id long, own binary")
 
 
 def verified(pairs: DataFrame, light: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
-    """Of the pairs (a, b) those that link: first by their bitmaps, then by exact intersection."""
+    """Of the pairs (a, b) those that link: first by their bitmaps, then by exact intersection.
+
+    Pairs are grouped by their first document, whose set goes once to each block of its partners.
+    """
     maybe = stored(_bounded(pairs, light, rule), "maybe")
     unsure = maybe.filter(~F.col("same")).select("a", "b")
-    ids = stored(unsure.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    some = _only(sets, ids)
-
+    blocks = unsure.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    partners = stored(unsure.join(blocks, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block")), "partners")
+    heads = stored(partners.select(F.col("a").alias("id"), "block").distinct(), "heads")
+    row = lambda key, side: [F.col(key).alias("a"), "block", F.lit(side).alias("side"), "id", "own"]
+    both = sets.join(_sent(heads), "id").select(*row("id", 0)).unionByName(sets.join(_sent(partners), "id").select(*row("a", 1)))
+    dealt = both.repartition("a", "block").sortWithinPartitions("a", "block", "side")
+
+    @tidy
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, tops = None, []
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("own_a"), batch.column("own_b")):
-                a, b = np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)
-                if len(a) > len(b):
-                    a, b = b, a
-                at = np.searchsorted(b, a)
-                at[at == len(b)] = 0
-                shared = int((b[at] == a).sum())
-                keep.append(100 * shared >= rule.percent * (len(a) + len(b) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found: list[tuple[int, int]] = []
+            for key, block, side, one, x in zip(*(batch.column(c).to_pylist() for c in ("a", "block", "side", "id")), batch.column("own")):
+                if head != (key, block):
+                    head, tops = (key, block), []
+                own = np.frombuffer(x.as_buffer(), U)
+                if side == 0:
+                    tops.append(own.copy())  # a repeated id has several sets
+                elif any(_links(top, own, rule) for top in tops):
+                    found.append((key, one))
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+
+    return stored(maybe.filter("same").select("a", "b").unionByName(dealt.mapInArrow(exact, "a long, b long")).distinct(), "links")
 
-    checked = unsure.join(some.select(F.col("id").alias("a"), F.col("own").alias("own_a")), "a").join(some.select(F.col("id").alias("b"), F.col("own").alias("own_b")), "b").select("a", "b", "own_a", "own_b").mapInArrow(exact, "a long, b long")
-    return stored(maybe.filter("same").select("a", "b").unionByName(checked).distinct(), "links")
+
+def _links(a: np.ndarray, b: np.ndarray, rule: Threshold) -> bool:
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    shared = int((b[at] == a).sum())
+    return 100 * shared >= rule.percent * (len(a) + len(b) - shared)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -307,6 +348,7 @@ def _compared(members: DataFrame, rule: Threshold, forest: bool) -> DataFrame:
 
     names = ("tile", "i", "j", "block", "id", "component", "n")
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in _with_end(batches):
@@ -339,20 +381,45 @@ def _with_end(batches):
     yield None
 
 
-def _mixed(tiles: DataFrame, labels: DataFrame, light: DataFrame) -> DataFrame:
-    """The members of tiles that hold different components, in blocks. A tile has one member of each different text."""
-    placed = tiles.join(_sent(labels), "id", "left").select("tile", "id", F.coalesce("component", "id").alias("component"))
-    many = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo < hi")
-    dealt = stored(placed.join(many.select("tile", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "tile"), "mixed")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(light.select("id", "n", "bits"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _mixed(tiles: DataFrame, labels: DataFrame) -> DataFrame:
+    """(tile, id, component): the members of tiles that hold different components, stored. A tile has one member of each different text."""
+    placed = tiles.select("tile", "id").join(_sent(labels), "id", "left").select("tile", "id", F.coalesce("component", "id").alias("component"))
+    many = placed.groupBy("tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("tile")
+    return stored(placed.join(_sent(stored(many, "many")), "tile"), "mixed")
+
+
+def _grouped(mixed: DataFrame, light: DataFrame) -> DataFrame:
+    """The members in blocks with what ``_compared`` looks at.
+
+    The members of a tile's largest component meet those of the others alone, so that a hot tile that
+    is nearly of one component costs its size and not its square.
+    """
+    per = mixed.groupBy("tile", "component").agg(F.count("*").alias("members"))
+    many = per.groupBy("tile").agg(F.max(F.struct("members", "component")).alias("top"), F.sum("members").alias("all"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    many = many.select("tile", F.col("top.component").alias("most"), blocks(F.col("top.members")).alias("large"), blocks(F.col("all") - F.col("top.members")).alias("small"))
+    dealt = mixed.join(_sent(stored(many, "many")), "tile").withColumn("is_large", F.col("component") == F.col("most"))
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("is_large"), F.col("large")).otherwise(F.col("small"))).cast("int")
+    dealt = dealt.withColumn("block", F.when(F.col("is_large"), -1 - block).otherwise(block))  # the largest component's are below 0
+    others = F.sequence(F.lit(0), F.col("small") - 1)
+    dealt = dealt.withColumn("other", F.explode(F.when(F.col("is_large"), others).otherwise(F.concat(F.sequence(-F.col("large"), F.lit(-1)), others))))
+    # A merge join last: it brings a document's rows together, whose equal bitmaps then shrink to one in the shuffle.
+    dealt = dealt.join(light.select("id", "n", "bits").hint("merge"), "id")
     dealt = dealt.select("tile", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n", "bits")
     return dealt.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j", "id")
 
 
 def _copies(light: DataFrame) -> DataFrame:
     """(id, firsts, more): every document with a set that one of smaller id has as well, the smallest for each such set; ``more``: it has another set besides."""
-    firsts = light.groupBy("set1", "set2", "n").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
-    marked = light.select("id", "set1", "set2", "n").join(firsts, ["set1", "set2", "n"], "left").withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
+    key = ["set1", "set2", "n"]
+    firsts = stored(light.groupBy(*key).agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select(*key, "first"), "firsts")
+    rows = light.select("id", *key)
+    if firsts.count() <= SENT_ROWS:
+        marked = rows.join(F.broadcast(firsts), key, "left")
+    else:  # a set that very many documents have is dealt over several tasks
+        salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, [*key, "salt"], "left")
+    marked = marked.withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
     return marked.groupBy("id").agg(F.collect_set(F.when(F.col("copy"), F.col("first"))).alias("firsts"), F.max(~F.col("copy")).alias("more")).filter("size(firsts) > 0")
 
 
@@ -360,11 +427,15 @@ def _shared_tiles(keys: DataFrame) -> DataFrame:
     """(tile, id, lo, hi): the members of every tile that has more than one, and its smallest and largest.
 
     Keys are dealt by tile once, narrow as they are; the tiles that are shared, few of all, are found
-    and joined with the keys in the same partitions.
+    and joined with the keys in the same partitions. Near copies share many tiles of the very same
+    members, known by their number and sums of their hashes; one of these tiles is enough.
     """
-    dealt = keys.repartition("tile")
-    shared = dealt.groupBy("tile").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
-    return dealt.join(shared.hint("shuffle_hash"), "tile").select("tile", "id", "lo", "hi")
+    dealt = keys.filter("tile is not null").repartition("tile")  # the filter that the join adds, so that both uses share one exchange
+    hashed = F.xxhash64("id")
+    members = [F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("members"), F.bit_xor(hashed).alias("x"), F.sum(F.shiftrightunsigned(hashed, 32)).alias("s")]
+    shared = dealt.groupBy("tile").agg(*members).filter("lo < hi")
+    once = shared.groupBy("lo", "hi", "members", "x", "s").agg(F.min("tile").alias("tile")).select("tile", "lo", "hi")
+    return dealt.join(once.hint("shuffle_hash"), "tile").select("tile", "id", "lo", "hi")
 
 
 def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", rule: Threshold = Threshold()) -> DataFrame:
@@ -374,42 +445,49 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     id count as one document with several texts; rows with a null id are returned with a null
     component and link to nothing. Exact copies link through their equal sets.
     """
-    spark = docs.sparkSession
-    batches_of(spark, 256)
-    docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    table = stored(signatures(docs, rule), "signatures")
-    light = table.filter("n > 0 and id is not null")
-    copies = stored(_copies(light), "copies")
-    first = docs.filter("id is not null").join(_sent(copies.filter("not more").select("id")), "id", "left_anti")
-    tiles = stored(_shared_tiles(tile_rows(first, rule)), "tiles")
-    pairs = [tiles.filter(F.col("id") != F.col(c)).select(F.least("id", c).alias("a"), F.greatest("id", c).alias("b")) for c in ("lo", "hi")]
-    sets = stored(sets_of(docs, stored(tiles.select(F.explode(F.array("id", "hi")).alias("id")).distinct(), "ids"), rule), "sets")
-    links = [copies.select(F.col("id").alias("a"), F.explode("firsts").alias("b")), verified(pairs[0].union(pairs[1]).distinct(), light, sets, rule)]
-    labels = stored(components(links[0].unionByName(links[1])), "labels")
-    for forest in (True, False):
-        candidates = stored(_compared(_mixed(tiles.select("tile", "id"), labels, light), rule, forest), "candidates")
-        tried = candidates.count()
-        if not tried:
-            break
-        new = verified(candidates, light, sets, rule)
-        links.append(new)
-        linked = new.count()
-        if linked:
-            labels = stored(components(reduce(DataFrame.unionByName, links)), "labels")
-        if linked == tried:
-            break  # every pair that joins a tile's components holds: nothing is left between them
-    return table.join(labels, "id", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    bounded_batches(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
+        table = stored(signatures(docs, rule), "signatures", lasting=True)
+        light = table.filter("n > 0 and id is not null")
+        copies = stored(_copies(light), "copies")
+        first = docs.filter("id is not null").join(_sent(copies.filter("not more").select("id")), "id", "left_anti")
+        tiles = stored(_shared_tiles(tile_rows(first, rule)), "tiles")
+        ends = stored(tiles.groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "ends")
+        sets = stored(sets_of(docs, ends.select("id"), rule), "sets")
+        pairs = [ends.filter(F.col("id") != F.col(c)).select(F.least("id", c).alias("a"), F.greatest("id", c).alias("b")) for c in ("lo", "hi")]
+        links = [copies.select(F.col("id").alias("a"), F.explode("firsts").alias("b")), verified(stored(pairs[0].union(pairs[1]).distinct(), "candidates"), light, sets, rule)]
+        labels = stored(components(links[0].unionByName(links[1])), "labels", lasting=True)
+        light = stored(_only(light, ends.select("id")), "members")
+        for forest in (True, False):
+            tiles = _mixed(tiles, labels)
+            candidates = stored(_compared(_grouped(tiles, light), rule, forest), "candidates")
+            tried = candidates.count()
+            if not tried:
+                break
+            new = verified(candidates, light, sets, rule)
+            links.append(new)
+            linked = new.count()
+            if linked:
+                labels = stored(components(reduce(DataFrame.unionByName, links)), "labels", lasting=True)
+            if linked == tried:
+                break  # every pair that joins a tile's components holds: nothing is left between them
+        return table.join(labels, "id", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text: str = "text", rule: Threshold = Threshold()) -> DataFrame:
     """The documents without near copies: of each component the row of the smallest id stays, once.
 
-    Rows with a null id link to nothing and stay. Of rows with one id that head a component one stays.
+    Rows with a null id link to nothing and stay. Of rows with one id that head a component the smallest
+    stays. Columns of any name are kept as they are; an empty table gives an empty result.
     """
-    found = jaccard_components(docs, id_column, text, rule).filter(F.col("component_id") == F.col(id_column)).select(F.col(id_column).alias("__head")).distinct()
-    kept = docs.join(found, docs[id_column] == found["__head"], "left_semi")
-    once = kept.groupBy(id_column).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*") if _repeats(docs, id_column) else kept
-    return once.unionByName(docs.filter(F.col(id_column).isNull()))
+    found = jaccard_components(docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")), "id", "text", rule)
+    gone = stored(found.filter("component_id <> id").select(F.col("id").alias("__gone")).distinct(), "gone", lasting=True)
+    kept = docs.join(_sent(gone), F.col(id_column) == F.col("__gone"), "left_anti")
+    if not _repeats(docs, id_column):
+        return kept
+    once = kept.filter(F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("key")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.select("row.*").unionByName(kept.filter(F.col(id_column).isNull()))
 
 
 def _repeats(docs: DataFrame, id_column: str) -> bool:
@@ -417,5 +495,6 @@ def _repeats(docs: DataFrame, id_column: str) -> bool:
 
 
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``; odd rows as in ``jaccard_components``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return jaccard_components(docs, rule=Threshold(words=3, percent=90))

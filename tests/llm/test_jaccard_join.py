@@ -1,11 +1,14 @@
+import os
 import random
 import re
 
 import numpy as np
 import pytest
 
+from kinfold.llm import jaccard_join as J
 from kinfold.llm._common import WordIds
 from kinfold.llm.jaccard_join import Threshold, components, jaccard_components, one_of_each_group, shingles, signature, tile_keys
+from kinfold.sources.shared import scratch, shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -123,3 +126,53 @@ def test_an_id_with_a_copy_and_another_text(spark):
     df = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b + " end"), (8, a), (9, words(3, 60)), (10, a), (10, words(3, 60)), (11, words(4, 60))], "doc_id long, text string")
     got = {(r.doc_id, r.component_id) for r in jaccard_components(df, rule=Threshold(words=3, percent=90)).collect()}
     assert got == {(3, 3), (5, 3), (7, 3), (8, 3), (9, 3), (10, 3), (11, 11)}
+
+
+def test_wide_bitmaps_bound_the_difference():
+    """Parities of any two lengths of bitmap differ in no more places than the sets."""
+    r = np.random.default_rng(5)
+    for n, m in ((1100, 1100), (1500, 5000), (9000, 9100), (40_000, 2000)):
+        a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.r_[a[: min(n, m) * 9 // 10], r.integers(0, 1 << 63, max(1, m - min(n, m) * 9 // 10)).astype(np.uint64)])
+        apart = len(np.setxor1d(a, b))
+        assert J.wide_differ(J.wide_signature(a), J.wide_signature(b)) <= apart
+        if n == m:
+            c = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+            assert J.wide_differ(J.wide_signature(a), J.wide_signature(c)) > J.Threshold().differ(len(a), len(c))
+    assert J.wide_signature(a[:1000]) == b""
+
+
+def test_very_long_texts_and_one_dominant_component(spark, monkeypatch):
+    """Copies with small changes of a long text, two long texts that share a passage, and a tile of one large component and a stranger."""
+    monkeypatch.setattr(J, "BLOCK", 8)
+    r = np.random.default_rng(2)
+    long = [f"w{x}" for x in r.integers(0, 10**6, 20_000)]
+    near = [*long[:5000], "other", *long[5001:]]
+    far = [f"v{x}" for x in r.integers(0, 10**6, 18_000)] + long[:2000]
+    hot = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omikron pi rho sigma tau upsilon phi chi psi omega " * 2
+    texts = [" ".join(long), " ".join(near), " ".join(far)] + [hot + f"tail{i}" for i in range(40)] + [hot.replace("alpha", "aleph").replace("kappa", "kaph")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in J.jaccard_components(df).collect()}
+    want = brute([(i, t) for i, t in enumerate(texts)], 5, 80)
+    assert got == {d: c for d, (_, c) in want.items()}
+    kept = sorted(x.doc_id for x in J.one_of_each_group(df).collect())
+    assert kept == sorted(set(got.values()))
+
+
+def test_many_sets_with_copies_are_dealt_by_salt(spark, monkeypatch):
+    rows = [(i, f"text number {i % 7} of some words that many have") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {x.doc_id: x.component_id for x in J.jaccard_components(df).collect()}
+    monkeypatch.setattr(J, "SENT_ROWS", 0)
+    assert {x.doc_id: x.component_id for x in J.jaccard_components(df).collect()} == want == {i: i % 7 for i, _ in rows}
+
+
+def test_stored_tables_go(spark):
+    folder = lambda: set(os.listdir(f"{shared_dir(spark)}/kinfold"))
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    J.jaccard_components(df).collect()
+    before = folder()
+    with scratch(spark, everything=True):
+        assert J.jaccard_components(df).count() == 2
+        assert len(folder() - before) <= 3  # what the result reads
+    assert folder() == before
