@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._common import batches_of, crc_remainder, mix, ragged, raw, texts_of
+from kinfold.llm._common import bounded_batches, crc_remainder, mix, pieces, ragged, raw, texts_of, tidy
 from kinfold.llm.quality_classifier import labelled
 
 U = np.uint64
@@ -40,7 +40,7 @@ class Net:
     sample: int = 8000
     of_toxic: int = 1500
     of_clean: int = 2500
-    epochs: int = 3
+    epochs: int = 3  # with more, some 300 toxic texts are learnt by heart
     batch: int = 256
     rate: float = 0.02
     seed: int = 5
@@ -398,33 +398,56 @@ def score_texts(inputs: Inputs, texts: list[str], net: Net, rows: int = 4096) ->
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held: int = 1, net: Net = Net()) -> dict[str, np.ndarray]:
-    """Fit on at most ``net.of_toxic`` and ``net.of_clean`` texts of the two labels among ``net.sample`` labelled rows; all bounds are fixed."""
-    batches_of(docs.sparkSession)
+    """Fit on at most ``net.of_toxic`` and ``net.of_clean`` texts of the two labels among ``net.sample`` labelled rows; all bounds are fixed.
+
+    One task gets these texts and trains; the driver sees ids, labels and the finished parameters only.
+    A null text is an empty one, rows without id or label are left out, of several texts of an id the
+    smallest counts. Without rows of both labels every text will score the same.
+    """
+    bounded_batches(docs.sparkSession)
     rows = labelled(docs, labels, label, id_column, text, folds, held, net.sample).select("__id", "label", "text")
-    by = rows.select("__id", "label").distinct().orderBy("label", F.xxhash64("__id", F.lit(3)), "__id").toArrow().to_pandas()
-    wanted = by[by["label"] == 1]["__id"].tolist()[: net.of_toxic] + by[by["label"] == 0]["__id"].tolist()[: net.of_clean]
-    some = docs.sparkSession.createDataFrame([(int(i),) for i in wanted], "__id long")
-    got = rows.join(F.broadcast(some), "__id").toArrow().to_pandas().sort_values(["__id", "text"]).drop_duplicates("__id")
-    return train(got["text"].tolist(), got["label"].to_numpy(np.int64), net)
+    by = rows.select("__id", "label").distinct().orderBy("label", F.xxhash64("__id", F.lit(3)), "__id").collect()
+    wanted = [r[0] for r in by if r.label == 1][: net.of_toxic] + [r[0] for r in by if r.label == 0][: net.of_clean]
+    some = docs.sparkSession.createDataFrame([(i,) for i in wanted], rows.select("__id").schema)
+
+    @tidy
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = [b for b in batches if b.num_rows]
+        if not some:
+            return
+        got = pa.Table.from_batches(some).to_pandas().sort_values(["__id", "text"]).drop_duplicates("__id")
+        fitted = train(got["text"].tolist(), got["label"].to_numpy(np.int64), net)
+        yield pa.RecordBatch.from_arrays([pa.array(fitted), pa.array([v.dtype.str for v in fitted.values()]), pa.array([v.shape for v in fitted.values()], pa.list_(pa.int64())), pa.array([v.tobytes() for v in fitted.values()], pa.binary())], names=["name", "kind", "shape", "data"])
+
+    found = rows.join(F.broadcast(some), "__id").repartition(1).mapInArrow(work, "name string, kind string, shape array<long>, data binary").collect()
+    if not found:
+        return train([], np.zeros(0, np.int64), net)
+    return {r.name: np.frombuffer(bytes(r.data), np.dtype(r.kind)).reshape(r.shape).copy() for r in found}
 
 
 def score_toxicity(docs: DataFrame, params: dict[str, np.ndarray], id_column: str = "doc_id", text: str = "text", folds: int = 3, held: int = 1, net: Net = Net(), keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, held_out, score, predicted, and the columns to keep, for every row; a null text is scored as an empty one."""
-    batches_of(docs.sparkSession)
+    """id, held_out, score, predicted, and the columns to keep, for every row.
+
+    A null text is scored as an empty one, which has no sign of toxicity. Repeated rows get repeated
+    results and a null id is held out or not as an empty one; an empty table gives an empty result. Other
+    columns are not looked at, whatever their names; one to keep must not have the name of a result.
+    """
+    bounded_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(params)
-    source = docs.select(*keep, F.col(id_column), F.col(text).alias("text"), (crc_remainder(id_column, folds) == held).alias("held_out"))
+    source = docs.select(*keep, F.col(id_column), F.col(text).alias("__text"), (crc_remainder(id_column, folds) == held).alias("held_out"))
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inputs = Inputs(shipped.value, net)
-        for batch in batches:
-            if batch.num_rows:
-                s = score_texts(inputs, texts_of(batch), net)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), batch.column(id_column), batch.column("held_out"), pa.array(s), pa.array((s >= net.cut_score).astype(np.int32))], names=[*keep, id_column, "held_out", "score", "predicted"])
+        for batch in pieces(batches, "__text"):
+            s = score_texts(inputs, texts_of(batch, "__text"), net)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), batch.column(id_column), batch.column("held_out"), pa.array(s), pa.array((s >= net.cut_score).astype(np.int32))], names=[*keep, id_column, "held_out", "score", "predicted"])
 
     return source.mapInArrow(work, docs.select(*keep, id_column).schema.add("held_out", "boolean").add("score", "double").add("predicted", "integer"))
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``; odd rows as in ``score_toxicity``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return score_toxicity(docs, fit_toxicity(docs, labels))
