@@ -322,13 +322,9 @@ sims AS (SELECT s1, t, round(0.6 * (len(list_intersect(list_distinct(a.tn), list
 SELECT * FROM (SELECT s1, t, sim, row_number() OVER (PARTITION BY s1 ORDER BY sim DESC, t)::INT AS rank FROM sims) WHERE rank <= 30"""
 
 
-#: For the tests: the address index's join is too slow in DuckDB on larger tables.
-CLASSIC_WHOLE_SQL = _classic_sql(*B.GRAM_INDEXES)
-
-
-@query("er_classic_candidates")
+@query("er_classic_candidates", _classic_sql(*B.GRAM_INDEXES))
 def er_classic_candidates(spark, sf_dir):
-    """By keys, names and addresses; tested against its SQL on small tables."""
+    """By keys, names and addresses."""
     return B.classic_candidates(*keyed_sides(spark, sf_dir), 30)
 
 

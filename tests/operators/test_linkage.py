@@ -21,8 +21,7 @@ from kinfold.operators import scoring as R
 from kinfold.operators import tokens as T
 from kinfold.operators import validate as V
 from kinfold.plans import linkage as L
-from kinfold.plans import files  # noqa: F401  registers its queries
-from kinfold.plans.catalogue import CLASSIC_WHOLE_SQL
+from kinfold.plans import catalogue, files  # noqa: F401  they register their queries
 from kinfold.plans.registry import ORACLE_SQL, QUERIES
 from kinfold.sources import records as SRC
 from kinfold.sources import sinks as K
@@ -275,7 +274,7 @@ def against_sql(spark, folder, df, sql):
 
 
 def test_classic_candidates_against_sql(spark, small):
-    against_sql(spark, small, QUERIES["er_classic_candidates"](spark, small), CLASSIC_WHOLE_SQL)
+    against_sql(spark, small, QUERIES["er_classic_candidates"](spark, small), ORACLE_SQL["er_classic_candidates"])
 
 
 @pytest.mark.parametrize("name", ["er_ragged_tsv", "er_renamed_headers", "er_two_catalogues", "er_source_ids", "er_stored_country", "er_truth_file", "er_file_sizes", "er_validate_files", "er_validate_strict", "er_validate_broken", "er_legal_flags"])
