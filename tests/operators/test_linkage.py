@@ -92,6 +92,20 @@ def test_classic_candidates(spark):
     assert [r.g for r in spark.createDataFrame([("ab c",)], "x string").select(B.word_grams(F.col("x")).alias("g")).collect()] == [[" a", "ab", "b ", " ab", "ab ", " ab ", " c", "c ", " c "]]
 
 
+def test_key_pairs_of_hot_keys_and_repeated_ids(spark, monkeypatch):
+    """Every pair once: of a key in many slices, and of ids that are there twice; made without comparing all pairs."""
+    monkeypatch.setattr(B, "SLICE", 3, raising=False)
+    side = lambda name, n: [(f"{name}-{k}", f"acme{k % 2} works", "1 road", "US") for k in range(n)] + [(f"{name}-{k}", "acme0 works", "1 road", "US") for k in range(4)] + [(f"{name}-x", "acme0 works", "1 road", None)]
+    q, t = (B.keyed(spark.createDataFrame(side(n, k), REC)) for n, k in (("S1", 20), ("S2", 11)))
+    a, b = (B.blocking_keys(x).distinct().collect() for x in (q, t))
+    want = {(x.entity_id, y.entity_id, x.strategy) for x in a for y in b if x.country is not None and (x.country, x.strategy, x.key) == (y.country, y.strategy, y.key)}
+    pairs = B.key_pairs(q, t)
+    got = [tuple(x) for x in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[0].lstrip().startswith("Union")  # the last step is no aggregate over all pairs
+
+
 def test_learned_features(both, spark):
     s1, t = both
     c = B.kept(B.block(s1, t, by_state=False), B.Blocking())
