@@ -7,7 +7,7 @@ and bad is a quantile of the training scores, that of the share of bad labels.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm._common import WordIds, bounded_batches, crc_remainder, pieces, raw, texts_of, tidy
+from kinfold.llm._common import WordIds, bounded_batches, crc_remainder, pieces, raw, scratch, stored, texts_of, tidy
 from kinfold.llm.quality_rules import Rules, measure
 
 #: Bytes whose share of a text is a feature, one by one.
@@ -24,13 +24,19 @@ MARKS = b"|#*$%&<>!?.,;:"
 
 @dataclass(frozen=True)
 class Fit:
-    """``sample`` bounds the labelled rows that are fitted on; they are the first by a hash of the id."""
+    """Every labelled row takes part: a row of the commoner label meets ``opponents`` of the other.
 
-    sample: int = 6000
-    pairs: int = 40_000
+    Pairs are made within groups of ``rare`` rows of the rarer label, more beyond ``groups`` groups, and at
+    most about ``most`` times as many of the commoner. ``few`` rows are sorted by the driver.
+    """
+
+    opponents: int = 8
+    rare: int = 64
+    most: int = 64
+    groups: int = 2048
     penalty: float = 1e-3
     rounds: int = 30
-    seed: int = 11
+    few: int = 4096
     cut_score: float = 0.3
 
 
@@ -76,58 +82,110 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def differences(x: np.ndarray, label: np.ndarray, opponents: int) -> Iterator[np.ndarray]:
+    """Good less bad, so that each row of the commoner label meets as many opponents as there are, up to ``opponents``, and all rows are in a pair."""
+    good, bad = x[label == 1], x[label == 0]
+    n = max(len(good), len(bad))
+    for k in range(min(opponents, min(len(good), len(bad)))):
+        yield good[(np.arange(n) + (k if len(good) < len(bad) else 0)) % len(good)] - bad[(np.arange(n) + (k if len(bad) <= len(good) else 0)) % len(bad)]
+
+
+def slope(x: np.ndarray, label: np.ndarray, w: np.ndarray, opponents: int) -> np.ndarray:
+    """The number of pairs, and their sums of the likelihood's gradient and Hessian, in one array."""
+    n, grad, hess = 0, np.zeros(len(w)), np.zeros((len(w), len(w)))
+    for d in differences(x, label, opponents):
+        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
+        n, grad, hess = n + len(d), grad + d.T @ (1 - p), hess + (d * (p * (1 - p))[:, None]).T @ d
+    return np.r_[n, grad, hess.reshape(-1)]
+
+
+def newton(width: int, slopes: Callable[[np.ndarray], np.ndarray], fit: Fit) -> np.ndarray:
+    """The w of the highest penalised likelihood."""
+    w = np.zeros(width)
+    for _ in range(fit.rounds):
+        s = slopes(w)
+        n = max(s[0], 1)
+        step = np.linalg.solve(s[1 + width :].reshape(width, width) / n + fit.penalty * np.eye(width), s[1 : 1 + width] / n - fit.penalty * w)
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def _unlearnt(width: int) -> Ranking:
+    return Ranking(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0, 0.5)
+
+
+def _placed(n_bad: int, n: int) -> int:
+    """The place of the cut: so many scores are below it, those of the bad labels' share."""
+    return min(max(n_bad, 1), n - 1)
+
+
 def bradley_terry(x: np.ndarray, label: np.ndarray, fit: Fit) -> Ranking:
-    """Learn from seeded pairs of a text with label 1 and one with label 0.
+    """Learn from pairs of a text with label 1 and one with label 0, of rows at hand.
 
     Newton's method on the penalised logistic loss of feature differences. Without both labels every
     text scores the same: 0.5.
     """
-    good, bad = x[label == 1], x[label == 0]
-    if not len(good) or not len(bad):
-        return Ranking(np.zeros(x.shape[1]), np.ones(x.shape[1]), np.zeros(x.shape[1]), 0.0, 1.0, 0.5)
+    if not (label == 1).any() or not (label == 0).any():
+        return _unlearnt(x.shape[1])
     mean, scale = x.mean(0), x.std(0)
     scale[scale < 1e-9] = 1.0
-    r = np.random.default_rng(fit.seed)
-    d = (good[r.integers(0, len(good), fit.pairs)] - bad[r.integers(0, len(bad), fit.pairs)]) / scale
-    w = np.zeros(x.shape[1])
-    for _ in range(fit.rounds):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        grad = d.T @ (1 - p) / len(d) - fit.penalty * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / len(d) + fit.penalty * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w += step
-        if np.abs(step).max() < 1e-6:
-            break
-    s = ((x - mean) / scale) @ w
+    z = (x - mean) / scale
+    w = newton(x.shape[1], lambda w: slope(z, label, w, fit.opponents), fit)
+    s = z @ w
     # The quantile of the bad labels' share is the cut, halfway to the score above it in the good labels.
-    q = float((label == 0).mean())
     order = np.sort(s)
-    k = min(max(int(round(q * len(order))), 1), len(order) - 1)
-    cut = (order[k - 1] + order[k]) / 2
+    k = _placed(int((label == 0).sum()), len(order))
     spread = max(float(np.median(s[label == 1]) - np.median(s[label == 0])), 1e-6)
-    return Ranking(mean, scale, w, cut, 8.0 / spread, fit.cut_score)
-
-
-def labelled(docs: DataFrame, labels: DataFrame, label: str, id_column: str, text: str, folds: int, held: int, most: int) -> DataFrame:
-    """(text, label) of at most ``most`` labelled documents outside the held-out fold.
+    return Ranking(mean, scale, w, (order[k - 1] + order[k]) / 2, 8.0 / spread, fit.cut_score)
+
+
+def places(scores: DataFrame, ranks: list[int], few: int) -> list[float]:
+    """The values at these places (from 0) of a column ``s``, exactly: counted by ever narrower bins until ``few`` rows are left."""
+    low, high = scores.agg(F.min("s"), F.max("s")).first()
+    found = []
+    for rank in ranks:
+        a, b, own = low, high, F.lit(True)
+        while a < b:
+            width = (b - a) / few
+            at = F.least(F.floor((F.col("s") - F.lit(a)) / F.lit(width)), F.lit(few - 1))
+            bins = scores.filter(own).groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("b")).orderBy("bin").collect()
+            for x in bins:
+                if rank < x.n:
+                    break
+                rank -= x.n
+            a, b = x.a, x.b
+            own = F.col("s").between(a, b)
+            if x.n <= few and a < b:
+                a = b = sorted(r.s for r in scores.filter(own).collect())[rank]
+        found.append(a)
+    return found
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, id_column: str, text: str, folds: int, held: int, most: int | None = None) -> DataFrame:
+    """(text, label) of the labelled documents outside the held-out fold, of at most ``most`` if given.
 
     Of several labels of an id the largest counts, of several texts the smallest; rows without id or
-    label are left out. The sample, of bounded size, is what gets broadcast; the documents stay where
-    they are.
+    label are left out. A sample, of bounded size, is what gets broadcast, and the documents stay where
+    they are; all labels are joined as their size asks for.
     """
     own = labels.filter(F.col(label).isNotNull() & F.col(id_column).isNotNull() & (crc_remainder(id_column, folds) != held))
-    sample = own.groupBy(F.col(id_column).alias("__id")).agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(most)
+    every = own.groupBy(F.col(id_column).alias("__id")).agg(F.max(label).cast("int").alias("label"))
     found = docs.select(F.col(id_column).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return found.join(F.broadcast(sample), "__id")
+    return found.join(every if most is None else F.broadcast(every.orderBy(F.xxhash64("__id"), "__id").limit(most)), "__id")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, held: int = 0, fit: Fit = Fit()) -> Ranking:
-    """Learn from at most ``fit.sample`` labelled rows outside the held-out fold.
+    """Learn from all labelled rows outside the held-out fold.
 
     A null text is an empty one; rows without id or label are left out, and of several texts of an id one
-    counts. Without both labels every text scores 0.5.
+    counts. Without both labels every text scores 0.5. Features of the labelled rows are stored; a round
+    of Newton's method is one pass over them, of which the driver gets sums for each group of rows alone.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    width = features([""], WordIds()).shape[1]
 
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,10 +194,58 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
             x = features(texts_of(batch), known)
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["__id", "label", "x"])
 
-    rows = labelled(docs, labels, label, id_column, text, folds, held, fit.sample).select("__id", "text", "label").mapInArrow(work, "__id long, label int, x array<double>").toArrow().to_pandas()
-    rows = rows.assign(key=rows["x"].map(tuple)).sort_values(["__id", "key"]).drop_duplicates("__id")
-    width = features([""], WordIds()).shape[1]
-    return bradley_terry(np.array(rows["x"].tolist(), np.float64).reshape(-1, width), rows["label"].to_numpy(), fit)
+    kind = docs.schema[id_column].dataType.simpleString()
+    rows = labelled(docs, labels, label, id_column, text, folds, held).select("__id", "text", "label").mapInArrow(work, f"__id {kind}, label int, x array<double>")
+    with scratch(spark):
+        rows = stored(rows.filter("label in (0, 1)").groupBy("__id", "label").agg(F.min("x").alias("x")), "features")
+        counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+        if len(counts) < 2:
+            return _unlearnt(width)
+        groups, common = stored(_groups(rows, counts, fit), "groups"), max(counts, key=lambda k: counts[k])
+
+        def each(find: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+            """Of each group's features, labels and whether it is the one that counts a row: an array of numbers."""
+
+            @tidy
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    for g, k, y, x in zip(b.column("group").to_pylist(), b.column("share").to_pylist(), b.column("labels"), b.column("xs")):
+                        y = y.values.to_numpy()
+                        out = find(x.values.to_numpy().reshape(-1, width), y, (y == common) | (k == 0))
+                        yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([k], pa.int32()), pa.array([out], pa.list_(pa.float64()))], names=["group", "share", "out"])
+
+            return groups.mapInArrow(run, "group int, share int, out array<double>")
+
+        # in a fixed order, so that reruns agree to the last bit
+        total = lambda find: np.sum([r.out for r in sorted(each(find).collect())], 0)
+        n = sum(counts.values())
+        mean = total(lambda x, y, own: x[own].sum(0)) / n
+        scale = np.sqrt(total(lambda x, y, own: ((x[own] - mean) ** 2).sum(0)) / n)
+        scale[scale < 1e-9] = 1.0
+        w = newton(width, lambda w: total(lambda x, y, own: slope(x / scale, y, w, fit.opponents)), fit)
+        scores = stored(
+            each(lambda x, y, own: np.stack([((x - mean) / scale) @ w, y], 1)[own].reshape(-1)).select(F.explode(F.expr("transform(sequence(0, size(out) div 2 - 1), i -> struct(out[2 * i] as s, out[2 * i + 1] as label))")).alias("x")).select("x.*"), "scores"
+        )
+        k = _placed(counts[0], n)
+        below, above = places(scores, [k - 1, k], fit.few)
+        good, bad = (np.mean(places(scores.filter(F.col("label") == c), [(counts[c] - 1) // 2, counts[c] // 2], fit.few)) for c in (1, 0))
+        return Ranking(mean, scale, w, (below + above) / 2, 8.0 / max(float(good - bad), 1e-6), fit.cut_score)
+
+
+def _groups(rows: DataFrame, counts: dict[int, int], fit: Fit) -> DataFrame:
+    """(group, share, labels, xs): each group has its rows of the rarer label in all its shares, and those of the commoner in one."""
+    common, few = max(counts, key=lambda k: counts[k]), min(counts.values())
+    n = max(1, min(few // fit.rare, fit.groups))
+    shares = max(1, -(-counts[common] // (max(fit.rare, few // n) * fit.most * n)))
+    group = F.pmod(F.xxhash64("__id"), F.lit(n)).cast("int")
+    own = F.array(F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(shares)).cast("int"))
+    dealt = rows.select(group.alias("group"), F.explode(F.when(F.col("label") == common, own).otherwise(F.sequence(F.lit(0), F.lit(shares - 1)))).alias("share"), "__id", "label", "x")
+
+    def packed(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("__id")
+        return pa.table({"group": pa.array([key[0].as_py()], pa.int32()), "share": pa.array([key[1].as_py()], pa.int32()), "labels": pa.array([t.column("label").to_numpy()], pa.list_(pa.int32())), "xs": pa.array([t.column("x").combine_chunks().flatten().to_numpy()], pa.list_(pa.float64()))})
+
+    return dealt.groupBy("group", "share").applyInArrow(packed, "group int, share int, labels array<int>, xs array<double>")
 
 
 def score_quality(docs: DataFrame, model: Ranking, id_column: str = "doc_id", text: str = "text", folds: int = 5, held: int = 0) -> DataFrame:

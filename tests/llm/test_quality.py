@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from kinfold.llm._common import WordIds
-from kinfold.llm.quality_classifier import Fit, bradley_terry, fit_quality, score_quality
+from kinfold.llm.quality_classifier import Fit, bradley_terry, features, fit_quality, score_quality
 from kinfold.llm.quality_rules import Rules, kept_documents, measure, op8_quality_rules, quality_rules
 
 
@@ -162,3 +162,28 @@ def test_classifier_ignores_held_out_labels_and_odd_rows(spark, scored):
     assert len(out) == 4 and len({r.score for r in out if r.doc_id == 1}) == 1
     assert score_quality(odd.filter("false"), model).count() == 0
     assert (fit_quality(docs, labels.filter("false")).score(np.zeros((2, len(model.w)))) == 0.5).all()
+
+
+def test_classifier_learns_from_every_labelled_row(spark):
+    """Few and many rows in a group, as one array has it; no row is left out of the model, and places are exact."""
+    from kinfold.llm import quality_classifier as Q
+
+    r = np.random.default_rng(4)
+    texts = [" ".join(r.choice(["good", "words", "of", "a", "text.", "#", "$$"], int(r.integers(1, 60)), p=p)) for p in ([0.19] * 5 + [0.025] * 2, [0.1] * 5 + [0.25] * 2) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 80)) for i in range(120)], "doc_id long, quality int")
+    train = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5]
+    x, y = features([texts[i] for i in train], WordIds()), np.array([int(i < 80) for i in train])
+    for fit in (Fit(), Fit(rare=8, most=1, groups=3, few=5)):
+        model = fit_quality(docs, labels, fit=fit)
+        assert model.mean == pytest.approx(x.mean(0)) and model.scale == pytest.approx(np.where(x.std(0) < 1e-9, 1, x.std(0)))
+        s, order = model.raw(x), np.sort(model.raw(x))
+        assert model.cut == pytest.approx((order[(y == 0).sum() - 1] + order[(y == 0).sum()]) / 2)
+        assert model.steep == pytest.approx(8 / (np.median(s[y == 1]) - np.median(s[y == 0])))
+        one = bradley_terry(x, y, fit)
+        if fit == Fit():
+            assert model.w == pytest.approx(one.w, rel=1e-2, abs=1e-2)
+    for good, bad in ((7, 3), (3, 7), (1, 20)):
+        z = np.arange(good + bad, dtype=float)[:, None]
+        d = list(Q.differences(z, np.arange(good + bad) < good, 2))
+        assert len(d) == min(2, good, bad) and all(len(k) == max(good, bad) for k in d)
