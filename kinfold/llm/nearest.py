@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 Trees are fitted on a bounded sample of vectors: a node splits by the plane halfway between two of its
-vectors, down to leaves. Every vector is then put into its leaf of each tree. A query walks all trees
-through one priority queue and collects leaves until these hold enough vectors; the vectors in them are
-reranked by their exact cosine. The queue's order is how likely a leaf is to hold a near vector: a plane
+vectors, down to leaves. Every vector is then put into its leaf of each tree. A query visits the leaves
+of all trees in one order of priority until these hold enough vectors; the vectors in them are
+reranked by their exact cosine. The order is how likely a leaf is to hold a near vector: a plane
 that the query lies far from leaves little chance to its other side, and the chances along a path multiply.
 
 Vectors are dealt over parts of bounded size, with their leaves; each query goes to every part with the
@@ -12,7 +12,6 @@ leaves it visits, and a part returns its best few. So vectors are shuffled once,
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import erfc, log, sqrt
@@ -25,6 +24,12 @@ from pyspark.sql import functions as F
 from kinfold.llm._common import bounded_batches, stored, tidy
 
 
+#: How unlikely a side is, -log of 0.5 erfc(z), by z in steps; what lies beyond is as unlikely as the last.
+REACH, GRID = 6, 4096
+UNLIKELY = np.array([-log(max(0.5 * erfc(k / GRID), 1e-12)) for k in range(-REACH * GRID, REACH * GRID + 1)], np.float32)
+CELLS = 1 << 21  # nodes and leaves of the queries that are looked at together
+
+
 @dataclass(frozen=True)
 class Forest:
     """``sample`` bounds the vectors that splits are fitted on, the first by a hash of the id, and
@@ -117,27 +122,51 @@ class Trees:
             out[:, t] = -1 - node
         return out
 
+    def levels(self) -> list[np.ndarray]:
+        """The nodes of all trees by depth."""
+        out, nodes = [], np.array([r for r in self.roots if r >= 0], np.int64)
+        while len(nodes):
+            out.append(nodes)
+            below = self.child[nodes].reshape(-1)
+            nodes = below[below >= 0]
+        return out
+
     def search(self, unit: np.ndarray, enough: float, near: float = 0.5) -> list[np.ndarray]:
-        """For each query the leaves it visits, the likeliest first in all trees at once, until they hold ``enough`` samples' shares."""
-        offset, mean, child, share = self.offset.tolist(), self.mean.tolist(), self.child.tolist(), self.leaf_share.tolist()
-        scale = [1 / max(s * sqrt(2 * (1 - near * near)), 1e-6) for s in self.spread.tolist()]
+        """For each query the leaves it visits, the likeliest first in all trees at once, until they hold ``enough`` samples' shares.
+
+        No leaf is likelier than the nodes above it, so a queue that opens the likeliest node first yields leaves
+        in the order of their own chances; these are reckoned for whole levels and many queries in arrays.
+        """
+        levels, share = self.levels(), self.leaf_share
+        scale = 1 / np.maximum(self.spread * sqrt(2 * (1 - near * near)), 1e-6)
+        base, unit = self.mean * (1 - near) - self.offset, unit.astype(np.float32)
         out = []
-        for q in unit.astype(np.float32):
-            queue = [(0.0, root) for root in self.roots]
-            heapq.heapify(queue)
-            found: list[int] = []
-            total = 0.0
-            while queue and total < enough:
-                cost, node = heapq.heappop(queue)
-                if node < 0:
-                    found.append(-1 - node)
-                    total += share[-1 - node]
-                    continue
-                # where a near vector lies across the plane: about its mean, drawn towards the query
-                z = (mean[node] + near * (float(self.normal[node] @ q) - mean[node]) - offset[node]) * scale[node]
-                heapq.heappush(queue, (cost - log(max(0.5 * erfc(z), 1e-12)), child[node][0]))
-                heapq.heappush(queue, (cost - log(max(0.5 * erfc(-z), 1e-12)), child[node][1]))
-            out.append(np.array(found, np.int32))
+        step = max(1, CELLS // (len(self.offset) + len(share)))
+        for lo in range(0, len(unit), step):
+            own = unit[lo : lo + step]
+            # where a near vector lies across a plane: about its mean, drawn towards the query
+            z = self.normal @ own.T
+            z *= np.float32(near)
+            z += base[:, None].astype(np.float32)
+            z *= scale[:, None].astype(np.float32)
+            at = (np.clip(z, -REACH, REACH) * np.float32(GRID) + np.float32(REACH * GRID + 0.5)).astype(np.int32)
+            cost, cells = np.zeros(z.shape, np.float32), np.zeros((len(share), len(own)), np.float32)
+            for nodes in levels:
+                for side in (0, 1):
+                    below = self.child[nodes, side]
+                    c = cost[nodes] + UNLIKELY[at[nodes] if side == 0 else len(UNLIKELY) - 1 - at[nodes]]
+                    cost[below[below >= 0]] = c[below >= 0]
+                    cells[-1 - below[below < 0]] = c[below < 0]
+            for c in np.ascontiguousarray(cells.T):
+                k = min(len(c), int(2 * enough / max(share.mean(), 1e-12)) + 64)
+                while True:
+                    few = np.argpartition(c, k - 1)[:k] if k < len(c) else np.arange(len(c))
+                    few = few[np.lexsort((few, c[few]))]
+                    held = np.cumsum(share[few])
+                    if k == len(c) or held[-1] >= enough:
+                        break
+                    k = min(len(c), 2 * k)
+                out.append(few[: int(np.searchsorted(held, enough)) + 1].astype(np.int32))
         return out
 
 

@@ -84,3 +84,38 @@ def test_every_vector_has_a_leaf_and_search_covers_all():
     assert all(len(set(x.tolist())) == len(t.leaf_share) for x in t.search(u[:5], 99.0))
     first = [set(x.tolist()[:3]) & set(own.tolist()) for x, own in zip(t.search(u[:50], 99.0), leaves[:50])]
     assert np.mean([len(x) > 0 for x in first]) > 0.9  # a query's own leaves come early
+
+
+def test_search_visits_what_a_queue_would_at_a_fraction_of_its_work():
+    """The same leaves as by opening the likeliest node first, in much less time than that takes here."""
+    import heapq
+    import time
+    from math import erfc, log, sqrt
+
+    u = unit_of(np.random.default_rng(8).standard_normal((4000, 16)))
+    t = Trees.fit(u, len(u), Forest(trees=8, leaf=8))
+    enough, near = 0.5, 0.5
+
+    def walk(q):
+        queue, found, total = [(0.0, r) for r in t.roots], [], 0.0
+        heapq.heapify(queue)
+        while queue and total < enough:
+            cost, node = heapq.heappop(queue)
+            if node < 0:
+                found.append(-1 - node)
+                total += t.leaf_share[-1 - node]
+                continue
+            z = (t.mean[node] + near * (float(t.normal[node] @ q) - t.mean[node]) - t.offset[node]) / max(t.spread[node] * sqrt(2 * (1 - near * near)), 1e-6)
+            for side, x in ((0, z), (1, -z)):
+                heapq.heappush(queue, (cost - log(max(0.5 * erfc(x), 1e-12)), int(t.child[node, side])))
+        return set(found)
+
+    start = time.process_time()
+    want = [walk(q) for q in u[:100].astype(np.float32)]
+    between = time.process_time()
+    got = t.search(u[:100], enough, near)
+    took = time.process_time() - between
+    assert sum(len(a ^ set(b.tolist())) for a, b in zip(want, got)) <= 0.01 * sum(map(len, want))
+    assert took < (between - start) / 4
+    one = Trees.fit(u[:1], 1, Forest(trees=3))  # every root a leaf
+    assert [sorted(x.tolist()) for x in one.search(u[:2], 99.0)] == [[0, 1, 2]] * 2
