@@ -163,17 +163,17 @@ def places(scores: DataFrame, ranks: list[int], few: int) -> list[float]:
     return found
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, id_column: str, text: str, folds: int, held: int, most: int | None = None) -> DataFrame:
-    """(text, label) of the labelled documents outside the held-out fold, of at most ``most`` if given.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, id_column: str, text: str, folds: int, held: int, most: int) -> DataFrame:
+    """(text, label) of at most ``most`` labelled documents outside the held-out fold.
 
     Of several labels of an id the largest counts, of several texts the smallest; rows without id or
-    label are left out. A sample, of bounded size, is what gets broadcast, and the documents stay where
-    they are; all labels are joined as their size asks for.
+    label are left out. The sample, of bounded size, is what gets broadcast; the documents stay where
+    they are.
     """
     own = labels.filter(F.col(label).isNotNull() & F.col(id_column).isNotNull() & (crc_remainder(id_column, folds) != held))
-    every = own.groupBy(F.col(id_column).alias("__id")).agg(F.max(label).cast("int").alias("label"))
+    sample = own.groupBy(F.col(id_column).alias("__id")).agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(most)
     found = docs.select(F.col(id_column).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return found.join(every if most is None else F.broadcast(every.orderBy(F.xxhash64("__id"), "__id").limit(most)), "__id")
+    return found.join(F.broadcast(sample), "__id")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, held: int = 0, fit: Fit = Fit()) -> Ranking:
@@ -192,10 +192,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", t
         known = WordIds()
         for batch in pieces(batches):
             x = features(texts_of(batch), known)
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["__id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(list(x), pa.list_(pa.float64()))], names=["__id", "x"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    rows = labelled(docs, labels, label, id_column, text, folds, held).select("__id", "text", "label").mapInArrow(work, f"__id {kind}, label int, x array<double>")
+    learnt = lambda d: d.filter(F.col(id_column).isNotNull() & (crc_remainder(id_column, folds) != held))
+    every = learnt(labels).filter(F.col(label).isNotNull()).groupBy(F.col(id_column).alias("__id")).agg(F.max(label).cast("int").alias("label"))
+    # features first: they are what a join may shuffle, and texts stay where they are
+    measured = learnt(docs).select(F.col(id_column).alias("__id"), F.col(text).alias("text")).mapInArrow(work, f"__id {kind}, x array<double>")
+    rows = measured.join(every, "__id")
     with scratch(spark):
         rows = stored(rows.filter("label in (0, 1)").groupBy("__id", "label").agg(F.min("x").alias("x")), "features")
         counts = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
