@@ -18,6 +18,7 @@ from kinfold.operators import models as M
 from kinfold.operators import products as X
 from kinfold.operators import profile as A
 from kinfold.operators import scoring as R
+from kinfold.operators import texts as W
 from kinfold.operators import tokens as T
 from kinfold.operators import validate as V
 from kinfold.plans import linkage as L
@@ -383,3 +384,36 @@ def test_a_header_line_among_the_rows_is_a_row(spark, tmp_path):
     (tmp_path / "m.tsv").write_text("source1_entity_id\tmatched_entity_ids\nS1-1\t\nsource1_entity_id\tmatched_entity_ids\n")
     found = V.validate(spark, str(tmp_path / "m.tsv"), None, str(tmp_path / "s1.tsv")).collect()
     assert {(r.rule, tuple(r.examples)) for r in found} == {("unknown_row", ("source1_entity_id",)), ("wrong_prefix", ("matched_entity_ids",))}
+
+
+def test_block_by_texts_makes_no_token_rows(spark, monkeypatch):
+    """Texts give the pairs that vectors give, however they are dealt; no row for a token is made, shuffled or stored."""
+    rng = random.Random(5)
+    words = ["ab", "abc", "abcd", "éclair", "नमस्ते", "llc", "12", "0", *(f"{a}{b}x" for a in "pqrs" for b in "tuvw")]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(rng.randrange(n)))
+    places = ["", ", TX", ", Texas, CA", ", Mumbai, MH"]
+    made = lambda p, n: T.record_tokens(spark.createDataFrame([(f"{p}-{i}", some(5) or None, f"{some(9)}{rng.choice(places)}", rng.choice(["US", "US", "India", None])) for i in range(n)], REC)).cache()
+    s1, t = made("S1", 60), made("S2", 150)
+    name, addr = B.Channel("name", 30, 0.7), B.Channel("addr", 40)
+    wide = [(W, "PAIRS", 2000), (W, "HELD", 20), (W, "RECORDS", 16), (W, "LONG", 6), (W, "TASKS", 3)]
+    both_ways = [(B.Blocking((name, addr), 3, 2, 0.1), True), (B.Blocking((name, addr), 3, 1, 0.2, 0.0, 0.6), False)]
+    for spec, by_state in both_ways:
+        found = {}
+        for whole in (0, 60, 1000):  # no part, some or all fit a task
+            with monkeypatch.context() as m:
+                for where, what, size in [*wide, (W, "WHOLE", whole)]:
+                    m.setattr(where, what, size)
+                if whole == 1000:
+                    m.setattr(B, "channel_tokens", lambda *_: pytest.fail("a row for each token"))
+                found[whole] = sorted(B.block(s1, t, spec, by_state).collect())
+        want = found[0]
+        for got in (found[60], found[1000]):
+            assert len(want) > 20 and [x[:2] + x[5:] for x in got] == [x[:2] + x[5:] for x in want]
+            assert np.allclose([x[2:5] for x in got], [x[2:5] for x in want], atol=2e-6)
+
+
+def test_tokens_are_stored_without_what_can_be_made_again(both):
+    for d in both:
+        small = T.packed(d)
+        assert not {"abig", "nm", "ad", "ntok"} & set(small.columns)
+        assert T.unpacked(small).columns == d.columns and T.unpacked(small).collect() == d.collect()
