@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions import similarity as K_
 from kinfold.operators import blocking as B
+from kinfold.operators import classic as C
 from kinfold.operators import decide as D
 from kinfold.operators import evaluate as E
 from kinfold.operators import features as P
@@ -417,3 +418,23 @@ def test_tokens_are_stored_without_what_can_be_made_again(both):
         small = T.packed(d)
         assert not {"abig", "nm", "ad", "ntok"} & set(small.columns)
         assert T.unpacked(small).columns == d.columns and T.unpacked(small).collect() == d.collect()
+
+
+@pytest.mark.parametrize("dense", [0.0, 2.0])
+def test_classic_blocking_in_tasks_makes_no_pair_rows(spark, monkeypatch, dense):
+    """Neither vectors nor rows of key pairs are made; the rows are those that these give, copies and long words included."""
+    rnd = random.Random(5)
+    words = ["the", "then", "other", "anana", "x", "zürich", "n" * 300, "abcabc", "of"]
+    name = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 5)))
+    made = [(f"{'S1' if i % 3 else 'S2'}-{i}", name(), name() or None, rnd.choice(["US", "France", None])) for i in range(160)]
+    made += [(f"S2-copy-{i}", "the other abcabc", "of the", "US") for i in range(30)]
+    d = B.keyed(spark.createDataFrame(made, REC)).cache()
+    q, t = d.filter(F.startswith("entity_id", F.lit("S1-"))), d.filter(~F.startswith("entity_id", F.lit("S1-")))
+    index = B.GramIndex("norm_name", 20, 0.35)
+    wide = rows(B.gram_vector_pairs(q, t, index), "s1", "t", "sc"), rows(B.joined_candidates(q, t, 7, B.GRAM_INDEXES).withColumn("sim", F.round("sim", 8)), "s1", "t", "sim", "rank")
+    monkeypatch.setattr(C, "DENSE", dense)
+    monkeypatch.setattr(C, "TILE", 8)
+    for made_rows in ("best_pairs", "vectors", "key_pairs"):
+        monkeypatch.setattr(B, made_rows, None)
+    assert wide[0] and rows(B.gram_pairs(q, t, index), "s1", "t", "sc") == wide[0]
+    assert wide[1] and rows(B.classic_candidates(q, t, 7), "s1", "t", "sim", "rank") == wide[1]
