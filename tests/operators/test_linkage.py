@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -438,3 +439,18 @@ def test_classic_blocking_in_tasks_makes_no_pair_rows(spark, monkeypatch, dense)
         monkeypatch.setattr(B, made_rows, None)
     assert wide[0] and rows(B.gram_pairs(q, t, index), "s1", "t", "sc") == wide[0]
     assert wide[1] and rows(B.classic_candidates(q, t, 7), "s1", "t", "sim", "rank") == wide[1]
+
+
+def test_records_of_a_group_are_shuffled_in_compressed_pieces(monkeypatch):
+    """A group's records leave a task as one piece, of far fewer bytes than their texts, and come back whole and in order."""
+    monkeypatch.setattr(W, "PIECE", 500)
+    n = 1100
+    made = pa.RecordBatch.from_pydict({"part": ["US" if i % 3 else "" for i in range(n)], "i": pa.array([i % 2 for i in range(n)], pa.int32()), "side": pa.array([i % 5 % 2 for i in range(n)], pa.int32()), "id": [f"S{n - i}" for i in range(n)], "name": [f"some\u0001name\u0001of\u0001{i % 7}" * 4 for i in range(n)], "states": [""] * n})
+    sent = list(W.pieces(iter([made.slice(0, 600), made.slice(600, 0), made.slice(600)])))
+    assert len(sent) == 8 and sum(b.num_rows for b in sent) == 8  # four groups in two pieces each
+    assert sum(b.nbytes for b in sent) < made.nbytes / 3
+    for part, i in {(b["part"][0].as_py(), b["i"][0].as_py()) for b in sent}:
+        own = W.opened([b for b in sent if (b["part"][0].as_py(), b["i"][0].as_py()) == (part, i)]).to_pylist()
+        want = [x for x in made.to_pylist() if (x.pop("part"), x.pop("i")) == (part, i)]
+        assert own == sorted(want, key=lambda x: (x["side"], x["id"]))
+    assert not list(W.pieces(iter([made.slice(0, 0)])))
