@@ -454,3 +454,19 @@ def test_records_of_a_group_are_shuffled_in_compressed_pieces(monkeypatch):
         want = [x for x in made.to_pylist() if (x.pop("part"), x.pop("i")) == (part, i)]
         assert own == sorted(want, key=lambda x: (x["side"], x["id"]))
     assert not list(W.pieces(iter([made.slice(0, 0)])))
+
+
+def test_classic_features_shuffle_no_lists(spark):
+    """Views go to pairs without their lists; pairs get these from the texts, with the same values."""
+    view = P.classic_view(spark.createDataFrame([*S1, *TG], REC)).cache()
+    pairs = spark.createDataFrame([(a[0], b[0]) for a in S1 for b in TG], "s1 string, t string")
+    names = ("tn", "ta", "bn", "ba")
+    want = P.paired(pairs, view, view)
+    got = P.classic_lists(P.paired(pairs, P.classic_packed(view), P.classic_packed(view))).select(want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    sent = P.classic_packed(view)
+    assert not set(names) & set(sent.columns) and not [c for c, kind in sent.dtypes if kind.startswith("array")]
+    # above the joins, not below them
+    plan = P.features_v1(pairs, view, view, False)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join"):].split("InMemoryRelation")[0]
+    assert not [x for x in names if f"{x}_1" in below]
