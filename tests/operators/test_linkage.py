@@ -470,3 +470,15 @@ def test_classic_features_shuffle_no_lists(spark):
     plan = P.features_v1(pairs, view, view, False)._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Join"):].split("InMemoryRelation")[0]
     assert not [x for x in names if f"{x}_1" in below]
+
+
+def test_name_counts_go_to_records(spark):
+    """Counts by the query's country, of both sides' keys; none for an unknown country; no row more than records."""
+    one = spark.createDataFrame([("q1", "a b"), ("q2", "a b"), ("q3", "c"), ("q4", "a b")], "entity_id string, nk string")
+    two = spark.createDataFrame([("t1", "a b"), ("t2", "d"), ("t3", "c")], "entity_id string, nk string")
+    country = spark.createDataFrame([("q1", "US"), ("q2", "France"), ("q3", "US"), ("q4", None)], "s1 string, country string")
+    counts = spark.createDataFrame([("US", "a b", 1, 5), ("France", "a b", 2, 7), (None, "a b", 9, 9), ("US", "d", 0, 1), ("France", "c", 0, 3)], "country string, nk string, nk_cnt_s1 long, nk_cnt_t long")
+    a, b = P.with_name_counts(one, two, counts, country)
+    assert {r.entity_id: (r.nk_cnt_s1, r.nk_cnt_t) for r in a.collect()} == {"q1": (1, 5), "q2": (2, 7), "q3": (None, None), "q4": (None, None)} and a.count() == 4
+    got = {r.entity_id: r.nk_cnt and {k: tuple(v) for k, v in r.nk_cnt.items()} for r in b.collect()}
+    assert got == {"t1": {"US": (1, 5), "France": (2, 7)}, "t2": {"US": (0, 1)}, "t3": {"France": (0, 3)}} and b.count() == 3
