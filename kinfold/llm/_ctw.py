@@ -77,6 +77,7 @@ def climb(key: np.ndarray, n: np.ndarray, n1: np.ndarray, weighted: np.ndarray,
 def descend(tiers: list, sure: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
     """Node keys, counts and predictions (a 1's probability where the path ends at the node), from the top down.
 
+    Above one half a prediction is minus a 0's probability, so that single precision never makes a bit impossible.
     ``sure`` and ``left``: what the path above has put together, and the weight it passes on. Returns
     also what the deepest tier passes on.
     """
@@ -87,7 +88,8 @@ def descend(tiers: list, sure: np.ndarray, left: np.ndarray) -> tuple[np.ndarray
         kt = (n1 + 0.5) / (n + 1.0)
         keys.append(node_key(key >> U(8), d, key & U(255)))
         seen.append(n)
-        predictions.append((sure + left * kt).astype(np.float32))
+        p = sure + left * kt
+        predictions.append(np.where(p > 0.5, p - 1, p).astype(np.float32))
         passed = (sure + left * beta * kt, left * (1 - beta))
         up = True
     return np.concatenate(keys), np.concatenate(seen), np.concatenate(predictions), passed
@@ -121,7 +123,7 @@ class Model:
                 left = left[~hit]
                 if not len(left):
                     break
-            out += np.log10(np.where(one, p, 1 - p))
+            out += np.log10(np.where(one == (p > 0), np.abs(p), 1 - np.abs(p)))
         return out
 
     def log(self, grams: np.ndarray) -> np.ndarray:

@@ -6,6 +6,10 @@ the subtree below these is whole there; the few nodes above are computed once, f
 each distinct gram of the texts to score gets its probability, from all nodes. Frequent grams' and
 words' values go to all tasks, of bounded number; a document's other grams and words are joined with
 theirs.
+
+The unigram base has one class for all words that were never learnt, and does not spell them. So that both
+speak of the same tokens, the query's score takes such a word as one event too, of the probability by which
+Good and Turing expect new words; what spelling it costs is a column of its own.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm._common import Table, WordIds, bounded_batches, crc_remainder, grouped_words, pieces, raw, stored, texts_of, tidy
@@ -29,25 +33,35 @@ END = b""  # the token after a text's last word; no word is empty
 
 @dataclass(frozen=True)
 class Tree:
-    """``least``: how often a node must be seen to be kept. The other two bound what goes to all tasks, and change no score."""
+    """``least``: how often a node must be seen to be kept. The hot ones bound what goes to all tasks, and change no score.
+
+    ``tokens``: texts are taken as ``token_bytes`` has them.
+    """
 
     depth: int = 5
     least: int = 2
     hot_grams: int = 2_000_000
     hot_words: int = 500_000
     flush: int = 3_000_000
+    tokens: bool = False
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def token_bytes(text: str) -> bytes:
+    """The words of a text in small letters (A to Z alone), parted by single spaces."""
+    return b" ".join(raw(text).lower().split())
+
+
 def gram_counts(docs: DataFrame, text: str, tree: Tree) -> DataFrame:
     """(gram, n): all runs of context and byte in all texts, counted in each task before the shuffle."""
 
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        own = token_bytes if tree.tokens else raw
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             g, n = (np.concatenate(x) for x in zip(*held))
@@ -58,7 +72,7 @@ def gram_counts(docs: DataFrame, text: str, tree: Tree) -> DataFrame:
 
         size = 0
         for batch in pieces(batches, text):
-            g, _ = grams_of([raw(t) for t in texts_of(batch, text)], tree.depth)
+            g, _ = grams_of([own(t) for t in texts_of(batch, text)], tree.depth)
             if len(g):
                 held.append(np.unique(g, return_counts=True))
                 size += len(held[-1][0])
@@ -187,8 +201,10 @@ def _top(counts: DataFrame, most: int) -> tuple[pd.DataFrame, DataFrame]:
 
 
 def score_texts(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", text: str = "text", tree: Tree = Tree()) -> DataFrame:
-    """Per row of docs: id, n_tokens, n_known, train_tokens, base_score, score.
+    """Per row of docs: id, n_tokens, n_known, train_tokens, train_once, base_score, score, spelling.
 
+    ``score`` is that of every byte, and ``spelling`` the part of it that the words unknown to ``train`` make, with
+    the white space after each. ``train_once``: the words, ends included, that are in ``train`` once.
     ``train``: the documents to learn from, with the same text column. A null text is an empty one: its
     end alone is scored. Repeated rows are scored each on their own; without training texts every bit
     has probability one half. Other columns are not looked at, whatever their names; an empty table gives
@@ -197,7 +213,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", te
     spark = docs.sparkSession
     hot_grams, cold_grams = _top(gram_logs(docs, train, text, tree), tree.hot_grams)
     counts = stored(token_counts(train, text), "words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).first()
     train_tokens, rest = int(total.n), float(np.log10(total.n + total.v + 1))
     hot_words, _ = _top(counts, tree.hot_words)
     unsigned = lambda rows, column: rows[column].to_numpy().view(np.uint64)
@@ -212,13 +228,8 @@ def score_texts(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", te
             n = batch.num_rows
             known.fresh()
             texts = texts_of(batch, text)
-            grams, sizes = grams_of([raw(t) for t in texts], tree.depth)
+            grams, sizes = grams_of([(token_bytes if tree.tokens else raw)(t) for t in texts], tree.depth)
             at = frequent.find(grams)
-            score = np.add.reduceat(log_frequent[at], np.cumsum(sizes) - sizes)
-            rare = np.flatnonzero(at < 0)
-            own, g_id = np.unique(grams[rare], return_inverse=True)
-            g_pair, g_times = np.unique(np.repeat(np.arange(n), sizes)[rare] * (len(own) + 1) + g_id, return_counts=True)
-            g_doc, g_id = g_pair // (len(own) + 1), g_pair % (len(own) + 1)
             words, n_words = grouped_words(texts, lower=True)
             ids = known.ids(words)
             end = hot.find(known.hashes(np.array([known[END]])))
@@ -228,36 +239,78 @@ def score_texts(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", te
             doc = np.repeat(np.arange(n), n_words)
             base = np.bincount(doc, weights=value[ids], minlength=n) + (log_hot[end[0]] if end[0] >= 0 else 0.0)
             n_hot = np.bincount(doc, weights=is_hot[ids], minlength=n).astype(np.int64) + int(end[0] >= 0)
+            # the bytes of words that may be unknown are summed up by word, all others by document
+            g_doc = np.repeat(np.arange(n), sizes)
+            own = words_at(grams, g_doc, n_words)
+            g_word = np.append(np.where(is_hot[ids], -1, ids), -1)[own]
+            score = np.bincount(g_doc, np.where(g_word < 0, log_frequent[at], 0.0), n)
             cold = ~is_hot[ids]
+            spelt = np.bincount(own[g_word >= 0], log_frequent[at][g_word >= 0], len(ids))[cold]
             c_doc, c_id = doc[cold], ids[cold]
             if end[0] < 0:
-                c_doc, c_id = np.r_[c_doc, np.arange(n)], np.r_[c_id, np.full(n, known[END])]
-            pair, times = np.unique(c_doc * (len(known) + 1) + c_id, return_counts=True)
+                c_doc, c_id, spelt = np.r_[c_doc, np.arange(n)], np.r_[c_id, np.full(n, known[END])], np.r_[spelt, np.zeros(n)]
+            pair, back, times = np.unique(c_doc * (len(known) + 1) + c_id, return_inverse=True, return_counts=True)
+            spelt = np.bincount(back, spelt, len(pair))
             c_doc, c_id = pair // (len(known) + 1), pair % (len(known) + 1)
+            rare = np.flatnonzero(at < 0)
+            own, g_id = np.unique(grams[rare], return_inverse=True)
+            order = np.lexsort((g_id, g_word[rare], g_doc[rare]))
+            g_doc, g_word, g_id = g_doc[rare][order], g_word[rare][order], g_id[order]
+            new = np.flatnonzero(np.r_[True, (g_doc[1:] != g_doc[:-1]) | (g_word[1:] != g_word[:-1]) | (g_id[1:] != g_id[:-1])][: len(g_doc)])
+            g_times = np.diff(np.r_[new, len(g_doc)])
+            g_doc, g_word, g_id = g_doc[new], g_word[new], g_id[new]
             none = lambda kind, k: pa.nulls(k, kind)
             names = ["row", "id", "n_tokens", "n_hot", "base", "score", "word", "gram", "times"]
             k = len(pair)
             yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), batch.column(id_column).cast(pa.int64()), pa.array(n_words + 1), pa.array(n_hot), pa.array(base), pa.array(score), *[none(pa.int64(), n)] * 3], names=names)
-            for doc, word, gram, times in ((c_doc, _signed(known.hashes(c_id)), none(pa.int64(), k), times), (g_doc, none(pa.int64(), len(g_doc)), _signed(own[g_id]), g_times)):
+            g_hash = pa.array(known.hashes(g_word).view(np.int64), mask=g_word < 0)
+            for doc, spelt, word, gram, times in ((c_doc, pa.array(spelt), _signed(known.hashes(c_id)), none(pa.int64(), k), times), (g_doc, none(pa.float64(), len(g_doc)), g_hash, _signed(own[g_id]), g_times)):
                 if k := len(doc):
-                    yield pa.RecordBatch.from_arrays([pa.array(row + doc), *[none(pa.int64(), k)] * 3, *[none(pa.float64(), k)] * 2, word, gram, pa.array(times)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(row + doc), *[none(pa.int64(), k)] * 3, none(pa.float64(), k), spelt, word, gram, pa.array(times)], names=names)
             row += n
 
     # Stored, so that the row numbers given above hold for both uses.
     out = stored(docs.select(id_column, text).mapInArrow(work, "row long, id long, n_tokens long, n_hot long, base double, score double, word long, gram long, times long"), "scored")
-    cold = out.filter(F.col("word").isNotNull()).select("row", "word", "times").join(counts, "word", "left")
+    # of words that may be unknown what their bytes make, first with the grams that went to no task
+    lost = out.filter(F.col("gram").isNotNull()).select("row", "word", "gram", "times").join(cold_grams.select("gram", "log"), "gram")
+    lost = lost.select("row", "word", F.lit(0).cast("long").alias("times"), (F.col("times") * F.col("log")).alias("score"))
+    spelt = out.filter(F.col("word").isNotNull() & F.col("gram").isNull()).select("row", "word", "times", "score").unionByName(lost)
+    spelt = spelt.groupBy("row", "word").agg(F.sum("times").alias("times"), F.sum("score").alias("spelt"))
     c = F.coalesce("n", F.lit(0))
-    cold = cold.groupBy("row").agg(F.sum(F.col("times") * F.log10(c + 1)).alias("cold"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_cold"))
-    rare = out.filter(F.col("gram").isNotNull()).select("row", "gram", "times").join(cold_grams.select("gram", "log"), "gram")
-    rare = rare.groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("rare"))
-    whole = out.filter(F.col("n_tokens").isNotNull()).join(cold, "row", "left").join(rare, "row", "left")
+    cold = spelt.join(counts, "word", "left").groupBy("row").agg(
+        F.sum(F.col("times") * F.log10(c + 1)).alias("cold"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("n_cold"),
+        F.sum("spelt").alias("rare"), F.sum(F.when((c == 0) & F.col("word").isNotNull(), F.col("spelt"))).alias("spelling"),
+    )
+    whole = out.filter(F.col("n_tokens").isNotNull()).join(cold, "row", "left")
     return whole.select(
-        F.col("id").alias(id_column), "n_tokens", (F.col("n_hot") + F.coalesce("n_cold", F.lit(0))).cast("long").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"),
+        F.col("id").alias(id_column), "n_tokens", (F.col("n_hot") + F.coalesce("n_cold", F.lit(0))).cast("long").alias("n_known"), F.lit(train_tokens).cast("long").alias("train_tokens"), F.lit(total.once).cast("long").alias("train_once"),
         (F.col("base") + F.coalesce("cold", F.lit(0.0)) - F.col("n_tokens") * F.lit(rest)).alias("base_score"),
-        (F.col("score") + F.coalesce("rare", F.lit(0.0))).alias("score"),
+        (F.col("score") + F.coalesce("rare", F.lit(0.0))).alias("score"), F.coalesce("spelling", F.lit(0.0)).alias("spelling"),
     )
 
 
+def words_at(grams: np.ndarray, doc: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """For each byte of the texts and their ends the place of its word among all; -1 at an end and before the first word.
+
+    The white space after a word is the word's.
+    """
+    byte = grams & np.uint64(255)
+    out = (byte == 32) | ((byte >= 9) & (byte <= 13)) | (byte == 255)  # the latter is the text's end alone
+    begins = ~out & np.r_[True, out[:-1]][: len(out)]
+    at = np.cumsum(begins) - 1
+    return np.where((byte == 255) | (at < (np.cumsum(n_words) - n_words)[doc]), -1, at)
+
+
+def open_score() -> Column:
+    """log10 of the probability of a row's tokens from ``score_texts``, where all unknown words are one event.
+
+    Without anything learnt there are no known words, and all are spelt.
+    """
+    new = (F.col("train_once") + 0.5) / (F.col("train_tokens") + 1.0)
+    tokens = F.col("n_known") * F.log10(1 - new) + (F.col("n_tokens") - F.col("n_known")) * F.log10(new)
+    return F.when(F.col("train_tokens") == 0, F.col("score")).otherwise(F.col("score") - F.col("spelling") + tokens)
+
+
 _LOADED: dict = {}
 
 
@@ -274,4 +327,5 @@ def op3_lm_score(spark, sf_dir: str) -> DataFrame:
     """Every row of ``documents``, learnt from those outside the held-out fold; odd rows as in ``score_texts``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = crc_remainder("doc_id", 7) == 2
-    return score_texts(docs, docs.filter(~held)).withColumn("held_out", held).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored = score_texts(docs, docs.filter(~held), tree=Tree(tokens=True)).withColumn("held_out", held).withColumn("score", open_score())
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "spelling")

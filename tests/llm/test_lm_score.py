@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from kinfold.llm._ctw import Model, climb, deepest, descend, estimate, grams_of, log_gamma
-from kinfold.llm.lm_score import Tree, op3_lm_score, score_texts
+from kinfold.llm.lm_score import Tree, op3_lm_score, score_texts, token_bytes, words_at
 
 
 def tokens(t):
@@ -146,3 +146,46 @@ def test_odd_rows(spark):
     assert len(none) == 5 and all(r.base_score == 0 and r.train_tokens == 0 and r.n_known == 0 for r in none)
     assert all(abs(r.score + 8 * math.log10(2)) < 1e-9 for r in none if r.n_tokens == 1)
     assert score_texts(df.filter("false"), df).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_beats_the_base_on_small_corpora(spark, sf):
+    held = [r for r in op3_lm_score(spark, f"/root/testdata/{sf}").collect() if r.held_out]
+    assert all(math.isfinite(r.score) for r in held) and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+@pytest.mark.parametrize("hot_words, hot_grams", [(0, 0), (3, 20), (1000, 1_000_000)])
+def test_spelling_is_what_unknown_words_cost(spark, hot_words, hot_grams):
+    train = ["abracadabra abra", "abra kadabra é", "cabana", "", "aa abra"]
+    docs = [(i, t) for i, t in enumerate([*train, " abba  abra zzz", "zzz zzz", "ü\n", "zaa aa"])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in score_texts(df, df.filter(f"doc_id < {len(train)}"), tree=Tree(depth=3, hot_words=hot_words, hot_grams=hot_grams)).collect()}
+    g, c = np.unique(grams_of([t.encode() for t in train], 3)[0], return_counts=True)
+    nodes, known = [], set(" ".join(train).split())
+    for bit in range(8):
+        tiers, _ = climb(*deepest(g, c, bit), 3, 0)
+        k, n, p, _ = descend(tiers, np.zeros(len(tiers[-1][1])), np.ones(len(tiers[-1][1])))
+        keep = (n >= 2) | (k < np.uint64(1 << 60))
+        nodes.append((k[keep], p[keep]))
+    model = Model(*map(np.concatenate, zip(*nodes)), 3)
+    for d, t in docs:
+        b = t.encode()
+        cost = model.byte_log(grams_of([b], 3)[0])
+        want = sum(sum(cost[m.start() : m.end()]) for m in re.finditer(rb"\S+\s*", b) if m.group().strip().decode() not in known)
+        assert abs(got[d].spelling - want) < 1e-3 and abs(got[d].score - sum(cost)) < 1e-3 and got[d].train_once == 5, t
+
+
+def test_words_at():
+    g, sizes = grams_of([b" a  b", b"", b"cd "], 2)
+    assert words_at(g, np.repeat(np.arange(3), sizes), np.array([2, 0, 1])).tolist() == [-1, 0, 0, 0, 1, -1, -1, 2, 2, 2, -1]
+
+
+def test_a_bit_that_always_was_one_may_be_none():
+    n = np.array([1e9])
+    keys, _, p, _ = descend([(0, np.array([1], np.uint64), n, n, np.ones(1), None)], np.zeros(1), np.ones(1))
+    m = Model(keys, p, 0)
+    assert np.isfinite(m.byte_log(np.array([0, 255], np.uint64))).all()
+
+
+def test_token_bytes():
+    assert token_bytes(" A\tBÉ\n\n c\u00a0d ") == "a bÉ c\u00a0d".encode() and token_bytes(" ") == b""
